@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, katz, mixing, simhash
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -16,6 +16,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup_table(table(spark, sf_dir, "documents"))
 
 
+def op2_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup_table(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
