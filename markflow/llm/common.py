@@ -60,3 +60,29 @@ def pow2_bits(n: int, least: int) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(x) -> bytes:
+    """The bytes of an array, compressed: many values travel as one field of a row."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpacked(x: bytes, kind: type):
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def starts(*cols):
+    """Where runs of rows that are equal in all columns start."""
+    import numpy as np
+
+    new = np.zeros(len(cols[0]), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.nonzero(new)[0]

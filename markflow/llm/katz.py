@@ -36,7 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed as _z
 from .common import release, saved
+from .common import starts as _starts
+from .common import unpacked as _u
 
 #: Lower bounds of the classes of counts.
 CLASSES = np.array([1, 2, 3, 4, 5, 6, 16])
@@ -120,27 +123,6 @@ def _counts_of_counts(table: DataFrame, n: str) -> dict[int, int]:
     return out
 
 
-def _z(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _u(x: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
-def _starts(*cols: np.ndarray) -> np.ndarray:
-    """Where runs of equal values start."""
-    new = np.zeros(len(cols[0]), bool)
-    new[:1] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    return np.nonzero(new)[0]
-
-
 def _runs(slim: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """(bucket, base, w, pairs, v, at, n, rows): packed runs of each block's tokens, by bucket; bucket -1 names the rows of the block."""
 
