@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, katz, mixing, simhash, suffix_dedup
+from . import ann, exact_dedup, katz, mixing, quality, sentencepiece, simhash, suffix_dedup
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -20,6 +22,16 @@ def op2_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "p_text", "host_posterior", "path_posterior", "score", "keep")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup_table(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -37,6 +49,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The model file; a parameter of the operator.
+PIECES = os.environ.get("MARKFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return rows.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_table(table(spark, sf_dir, "documents")).drop("kept")
 
