@@ -61,15 +61,16 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, tie, fp): fp is the fingerprint as a signed long, tie a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([simhash(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    body = F.col(text).cast("string")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tie"), body.alias("text"))
+    return slim.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def filed(fps: np.ndarray, segments: int = SEGMENTS, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -217,21 +218,37 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(row)
 
 
-def near_dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id in its component)."""
+def _labelled(docs: DataFrame, text: str, doc_id: str, distance: int) -> DataFrame:
+    """(doc_id, tie, fp, first) per row: first is the struct (no_id, doc_id, tie) of the row that stands for the component."""
     prints = saved(fingerprints(docs, text, doc_id), "prints")
-    unique = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")
+    unique = saved(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")), "unique")
     roots = components(links(unique, distance))
     release(docs.sparkSession)
     known = saved(unique.join(sized(roots), unique["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = saved(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "ids")
-    named = saved(known.join(sized(ids), "root").select("fp", "component_id"), "named")
-    return prints.join(sized(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = saved(known.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    named = saved(known.drop("first").join(sized(firsts), "root").select("fp", "first"), "named")
+    return prints.join(sized(named), "fp")
+
+
+def near_dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id in its component)."""
+    rows = _labelled(docs, text, doc_id, distance)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (of rows that repeat an id, one)."""
-    table = near_dedup_table(docs, text, doc_id)
-    keep = saved(table.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "keep")
-    kept = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__id"))).drop("__id")
-    return kept.dropDuplicates([doc_id]).select(docs.columns)
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (of rows that repeat an id, by a hash of the text).
+
+    Texts move only where rows repeat id and text, or where more rows go than a broadcast may hold.
+    """
+    rows = saved(_labelled(docs, text, doc_id, distance), "labels")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    gone = saved(rows.where(~stays).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "gone")
+    again = saved(rows.where(stays).groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")), "again")
+    own = docs.withColumn("__own", F.xxhash64(F.col(text).cast("string")))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
+    kept = own.join(sized(gone), same, "left_anti")
+    if again.limit(1).count():
+        twice = kept.join(sized(again), same, "left_semi").dropDuplicates([doc_id, "__own"])
+        kept = kept.join(sized(again), same, "left_anti").unionByName(twice)
+    return kept.select(docs.columns)
