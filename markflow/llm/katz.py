@@ -44,8 +44,8 @@ from .common import unpacked as _u
 #: Lower bounds of the classes of counts.
 CLASSES = np.array([1, 2, 3, 4, 5, 6, 16])
 FREQUENT = 1024
-BLOCK_BYTES = 8 << 20
-BUCKET = 3_000_000
+BLOCK_BYTES = 4 << 20
+BUCKET = 1_500_000
 FOLDS, HELD_OUT = 7, 2
 START, END = b" ", b""
 _PACK = "kind byte, k long, p0 binary, p1 binary, p2 binary, p3 binary"
@@ -219,7 +219,8 @@ def _bucket(t: pa.Table, total: int, types: int, d1: np.ndarray, seen_mass: floa
     count = np.add.reduceat(train[order], cut)
     big_w, big_v = pw[order[cut]], pv[order[cut]]
     c2 = np.bincount(pw, weights=train, minlength=len(w)).astype(np.int64)
-    del key, order, pv, train
+    del key, order, pv, train, wi, vi
+    cols["w"].clear(), cols["v"].clear(), cols["at"].clear()
     at, is_hot = _index(hot, w)
     c2[is_hot] = hot_n[at[is_hot]]
     v_hot, v_is_hot = _index(hot, v)

@@ -2,9 +2,11 @@
 
 Units are the lines of a text and the whole text. Words are maximal runs of a-z and 0-9 after A-Z are lower-cased; with
 a and b bigrams in unit and template, and c in common (as multisets), Dice is 2c / (a + b). A pair can only reach t if
-t / (2 - t) <= a / b <= (2 - t) / t: units that no template's bounds admit are dropped before any bigram is made, pairs
-outside their bounds before they are counted. Bigrams of the rest meet the templates' bigrams in a broadcast join (the
-template table is a parameter of fixed size), so a unit without a common bigram ends there.
+t / (2 - t) <= a / b <= (2 - t) / t, and only with c >= t (a + b) / 2. So of any b - c + 1 bigrams of a template a match
+must hold one: those with the longest words are chosen, and a unit that has none of their longest words (or, where these
+are short, none of the pairs) is dropped by plain substring tests. Of the rest, units that no template's bounds admit are dropped before any bigram is made, pairs
+outside their bounds before they are counted. The bigrams left meet the templates' bigrams in a broadcast join (the
+template table is a parameter of fixed size).
 
 Defined cases: null texts, and units under two words, match nothing. Repeated rows give repeated results. Of equal
 scores the smallest template name wins, whole texts before lines, then the first line. An empty table gives an empty
@@ -13,6 +15,9 @@ result. Columns of docs other than id and text are not read.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +39,33 @@ TEMPLATES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    lower = F.translate(text, _UPPER, _LOWER)
+def _words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def hints(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[list[str], list[str]]:
+    """Words, and patterns of word pairs with short words, one of which is in every unit that reaches the threshold with some template."""
+    long, short = set(), set()
+    for _, text in templates:
+        w = _words(text)
+        b = len(w) - 1
+        a = math.ceil(b * threshold / (2 - threshold) - 1e-9)
+        common = max(1, math.ceil(threshold * (a + b) / 2 - 1e-9))
+        pairs = sorted(zip(w, w[1:]), key=lambda p: (-max(map(len, p)), p))
+        for p in pairs[: b - common + 1]:
+            word = max(p, key=len)
+            long.add(word) if len(word) >= 5 else short.add("[^a-z0-9]+".join(p))
+    return sorted(x for x in long if not any(y != x and y in x for y in long)), sorted(short)
+
+
+def words(lower: Column) -> Column:
     return F.split(F.regexp_replace(lower, r"^[^a-z0-9]+|[^a-z0-9]+$", ""), "[^a-z0-9]+")
 
 
 def template_bigrams(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(license, b, w1, w2, n): bigrams of each template with their counts, and how many it has."""
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])
-    base = spark.range(1).select(F.inline(rows)).select("license", words(F.col("text")).alias("w"))
+    base = spark.range(1).select(F.inline(rows)).select("license", words(F.translate("text", _UPPER, _LOWER)).alias("w"))
     pairs = base.select("license", (F.size("w") - 1).alias("b"), _zipped("w"))
     return pairs.groupBy("license", "b", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
@@ -54,20 +77,23 @@ def _zipped(w: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, line, n_lines): per row with a match its best template, the best line (-1: the whole text), matching lines."""
-    import re
-
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    sizes = sorted({len(re.findall("[a-z0-9]+", t.lower())) - 1 for _, t in templates})
-    fits = F.lit(False)
-    for b in sizes:
-        fits = fits | ((F.col("a") >= b * least - 1e-9) & (F.col("a") <= b * most + 1e-9))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body.alias("text"))
-    lines = base.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    # A whole text of several lines is a unit of its own if it is short enough for the longest template.
-    longest = int(max(sizes) * most + 2) * 40
-    whole = base.where(F.instr("text", "\n") > 0).where(F.length(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")) <= longest).select("row", "doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    units = lines.unionAll(whole).withColumn("w", words(F.col("unit"))).withColumn("a", F.size("w") - 1).where((F.col("a") > 0) & fits)
+    sizes = [len(_words(t)) - 1 for _, t in templates]
+    admitted = [a for a in range(1, int(max(sizes) * most) + 2) if any(b * least - 1e-9 <= a <= b * most + 1e-9 for b in sizes)]
+    body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER)
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.split(body, "\n").alias("lines"))
+    # Line -1 is the whole text, if it has several lines.
+    all_of = F.when(F.size("lines") > 1, F.array(F.array_join("lines", "\n"))).otherwise(F.array().cast("array<string>"))
+    units = base.select("row", "doc_id", F.posexplode(F.concat("lines", all_of)).alias("line", "unit"), F.size("lines").alias("n"))
+    units = units.withColumn("line", F.when((F.col("n") > 1) & (F.col("line") == F.col("n")), -1).otherwise(F.col("line")))
+    hint = F.lit(False)
+    long, short = hints(templates, threshold)
+    for w in long:
+        hint = hint | F.contains("unit", F.lit(w))
+    for p in short:
+        hint = hint | F.rlike("unit", F.lit(p))
+    units = units.where(hint).where(F.regexp_count("unit", F.lit("[a-z0-9]+")).isin([a + 1 for a in admitted]))
+    units = units.withColumn("w", words(F.col("unit"))).withColumn("a", F.size("w") - 1)
     pairs = units.select("row", "doc_id", "line", "a", _zipped("w"))
     met = pairs.join(F.broadcast(template_bigrams(docs.sparkSession, templates)), ["w1", "w2"]).where((F.col("a") >= F.col("b") * least - 1e-9) & (F.col("a") <= F.col("b") * most + 1e-9))
     unit = ["row", "doc_id", "line", "a", "license", "b"]
