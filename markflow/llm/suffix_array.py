@@ -152,7 +152,7 @@ def _plain(t: list[int], sigma: int) -> list[int]:
 
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     """Suffix array of t (symbols below sigma), whose last symbol is 0 and stands nowhere else."""
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t, np.uint16 if sigma <= 1 << 16 else np.int64)  # stable sorts of 16-bit symbols are radix sorts
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)

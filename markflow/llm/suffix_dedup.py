@@ -9,8 +9,9 @@ bytes, so the arrays are built over what can repeat, in shards that are exact on
     (first inside each block of texts, so a very common passage sends one row a block, then inside the bucket);
  3. what is left are first contexts whose anchor occurs in other contexts. A window is LENGTH - SEED bytes longer than its
     anchor, so half of that on one side or the other: contexts are dealt by (anchor, that side's bytes), once for each
-    side. In a shard, contexts that share such a key are laid end to end; the suffix array by induced sorting
-    and permuted common prefixes give the runs of equal LENGTH-byte strings, all of which but the first go;
+    side and cut to what such windows reach. In a shard, of equal ones again only the first stays; those that share
+    a key are laid end to end, and the suffix array by induced sorting and permuted common prefixes give the runs of equal
+    LENGTH-byte strings, all of which but the first go;
  4. spans are gathered per document, merged, and cut out of the whole text.
 
 Defined cases: a null text is empty; texts under LENGTH bytes stay whole. A null id comes first. Rows that repeat id and
@@ -246,14 +247,14 @@ def _contexts(met: DataFrame, shards: int) -> DataFrame:
                 raw = text.encode("utf-8", "surrogatepass")
                 at = unpacked(firsts, np.int64)
                 roll = Rolling(np.frombuffer(raw, np.uint8))
-                left, right = np.maximum(at - SIDE, 0), np.minimum(at + LENGTH, len(raw))
                 keys, bodies, begin = [], [], []
-                # A window holds HALF bytes before its anchor, or HALF bytes after it.
+                # A window holds HALF bytes before its anchor, or HALF bytes after it; what such windows reach is the context.
                 for side, ok, s, e in ((0, at >= HALF, at - HALF, at + SEED), (1, at + SEED + HALF <= len(raw), at, at + SEED + HALF)):
                     x = np.nonzero(ok)[0]
                     keys.append(roll.of(s[x], e[x]) * np.uint64(2) + np.uint64(side))
-                    begin.append(left[x])
-                    bodies += [raw[a:z] for a, z in zip(left[x].tolist(), right[x].tolist())]
+                    left, right = np.maximum(e[x] - LENGTH, 0), np.minimum(s[x] + LENGTH, len(raw))
+                    begin.append(left)
+                    bodies += [raw[a:z] for a, z in zip(left.tolist(), right.tolist())]
                 keys, begin = np.concatenate(keys), np.concatenate(begin)
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
@@ -270,12 +271,16 @@ def _shard(t: pa.Table) -> pa.Table:
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     ids, ties, at = (t.column(c).to_numpy() for c in ("doc_id", "tie", "at"))
     several = np.nonzero(n[back] > 1)[0]
+    several = several[np.lexsort((at[several], ties[several], ids[several]))]
     bodies = t.column("body").take(pa.array(several)).to_pylist()
-    # The same context by several keys stands once.
     place = np.stack([ids[several], ties[several], at[several]])
-    order = np.lexsort((place[2], place[1], place[0]))
-    size = np.array([len(bodies[i]) for i in order], np.int64)
-    keep = [i for k, i in enumerate(order) if k == 0 or (place[:, i] != place[:, order[k - 1]]).any() or size[k] != size[k - 1]]
+    # Equal contexts: the first stands for all, the others are spans as they are.
+    first: dict[bytes, int] = {}
+    of = np.fromiter((first.setdefault(x, i) for i, x in enumerate(bodies)), np.int64, len(bodies))
+    later = np.nonzero((of != np.arange(len(of))) & (place != place[:, of]).any(0))[0]
+    later = later[[len(bodies[i]) >= LENGTH for i in later]] if len(later) else later
+    keep = [i for x, i in first.items() if len(x) >= LENGTH]
+    done = [(place[:2, i], place[2, i], place[2, i] + len(bodies[i])) for i in later]
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
     if not keep:
         return empty
@@ -299,11 +304,16 @@ def _shard(t: pa.Table) -> pa.Table:
     cut = starts(run[order])
     lead = np.repeat(order[cut], np.diff(np.r_[cut, len(order)]))
     gone = order[(d[order] != d[lead]) | (tie[order] != tie[lead]) | (start[order] != start[lead])]
-    if not len(gone):
+    own = np.array([x for x, _, _ in done], np.int64).reshape(-1, 2)
+    d, tie = np.r_[d[gone], own[:, 0]], np.r_[tie[gone], own[:, 1]]
+    s = np.r_[start[gone], np.array([x for _, x, _ in done], np.int64)]
+    e = np.r_[start[gone] + LENGTH, np.array([x for _, _, x in done], np.int64)]
+    if not len(d):
         return empty
-    gone = gone[np.lexsort((start[gone], tie[gone], d[gone]))]
-    cut = starts(d[gone], tie[gone])
-    rows = [(int(d[gone[s]]), int(tie[gone[s]]), packed(_merged(start[gone[s:e]], start[gone[s:e]] + LENGTH))) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(gone)])]
+    order = np.lexsort((s, tie, d))
+    d, tie, s, e = d[order], tie[order], s[order], e[order]
+    cut = starts(d, tie)
+    rows = [(int(d[a]), int(tie[a]), packed(_merged(s[a:z], e[a:z]))) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(d)])]
     cols = list(zip(*rows))
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "tie", "spans"])
 
@@ -344,7 +354,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     marks = saved(found.groupBy("k").applyInArrow(_by_document, per_doc), "marks")
     asked = marks.where("n_firsts > 0")
     n = asked.agg(F.sum("n_firsts")).first()[0] or 0
-    shards = max(12, math.ceil(2 * n * (SEED + 2 * SIDE) / SHARD_BYTES))
+    shards = max(12, math.ceil(2 * n * (2 * LENGTH - SEED - HALF) / SHARD_BYTES))
     met = texts.join(sized(asked.select("doc_id", "tie", "firsts")), ["doc_id", "tie"]).select("doc_id", "tie", "text", "firsts")
     more = saved(_contexts(met, shards).groupBy("shard").applyInArrow(_shard, "doc_id long, tie long, spans binary"), "sorted")
     release(spark)
