@@ -77,6 +77,8 @@ def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, k
     clean = rules.cleaners.select(F.col("callee").alias("c_callee"), F.col("pos").alias("c_pos"), F.col("mark").alias("c_mark"))
     copy = rules.passes.select(F.col("callee").alias("p_callee"), F.col("src").alias("p_src"), F.col("dst").alias("p_dst"))
     formal = F.when(F.col("a_pos") == "result", F.lit(None)).otherwise(F.col("a_pos"))
+    # Parts of the step whose relation is empty are left out of its plan.
+    deep, cleans, copies = (bool(x.limit(1).count()) for x in (bodies, clean, copy))
 
     def on(facts: DataFrame) -> DataFrame:
         return facts.join(stmt, (F.col("m") == F.col("i_m")) & (F.col("n") == F.col("i_n")))
@@ -95,6 +97,9 @@ def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, k
         over = F.col("i_lhs").isNotNull() & (F.col("base") == F.col("i_lhs")) & F.coalesce(_cut(F.col("path"), lp).isNotNull(), F.lit(False)) & ~lp.contains("[*]")
         itself = (F.col("i_op") == "assign") & (F.col("i_rhs") == F.col("i_lhs")) & (rp == lp)
         stays = here.where(~F.coalesce(over & ~itself, F.lit(False))).where("i_op <> 'return'").select(*FACT, F.col("i_op").alias("op"))
+        moved = moved.unionByName(stays.select(FACT)) if not (deep or cleans or copies) else moved
+        if not (deep or cleans or copies):
+            return forward(moved)
         # Cleaners and passes of calls.
         at_call = at_actuals(here.where("i_op = 'call'").select(FACT))
         wiped = at_call.join(clean, (F.col("a_callee") == F.col("c_callee")) & (F.col("a_pos") == F.col("c_pos")) & ((F.col("c_mark") == "*") | (F.col("mark") == F.col("c_mark")))).select(FACT).distinct()
@@ -104,6 +109,9 @@ def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, k
         passed = clean_call.join(copy, (F.col("a_callee") == F.col("p_callee")) & (F.col("a_pos") == F.col("p_src")))
         passed = passed.join(to, (F.col("m") == F.col("t_m")) & (F.col("n") == F.col("t_n")) & (F.col("p_dst") == F.col("t_pos")))
         passed = passed.select("m", "init", "n", F.col("t_base").alias("base"), F.concat("t_path", "path").alias("path"), "mark")
+        flat = moved.unionByName(kept).unionByName(passed) if copies else moved.unionByName(kept)
+        if not deep:
+            return forward(flat)
         # Facts on actuals enter known callees under their own name as entry fact.
         enter = clean_call.where(formal.isNotNull()).join(bodies, F.col("a_callee") == F.col("k_callee"))
         name = F.concat_ws("|", "a_pos", "path", "mark")
@@ -130,7 +138,7 @@ def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, k
         before = at_actuals(on(known).where("i_op = 'call'").select(FACT)).where(formal.isNotNull())
         before = before.join(clean, (F.col("a_callee") == F.col("c_callee")) & (F.col("a_pos") == F.col("c_pos")) & ((F.col("c_mark") == "*") | (F.col("mark") == F.col("c_mark"))), "left_anti")
         back = returned(enter.drop("k_callee"), exits(known)).unionByName(returned(before, exits(new))).unionByName(sourced(new))
-        return forward(moved.unionByName(kept).unionByName(passed).unionByName(back)).unionByName(entered)
+        return forward(flat.unionByName(back)).unionByName(entered)
 
     made = rules.sources.select(F.col("callee").alias("s_callee"), F.col("pos").alias("s_pos"), F.col("mark").alias("s_mark"))
     seed = actual.join(made, (F.col("a_callee") == F.col("s_callee")) & (F.col("a_pos") == F.col("s_pos")))

@@ -165,7 +165,8 @@ def p26_type_filter(spark, d):
 
 
 @query("""WITH o AS (SELECT p_partkey AS class, p_size % 3 || '.' || p_size || '.0' AS version FROM part), m AS (SELECT p_partkey AS target, 'M' || p_partkey AS model FROM part WHERE p_partkey % 2 = 0)
-SELECT o.class, m.model FROM o JOIN m ON o.class = m.target WHERE [CAST(x AS INTEGER) FOR x IN string_split(version, '.')] >= [0, 10, 0] AND [CAST(x AS INTEGER) FOR x IN string_split(version, '.')] <= [1, 30, 0]""")
+SELECT o.class, m.model FROM o JOIN m ON o.class = m.target WHERE (split_part(version, '.', 1) = '0' AND CAST(split_part(version, '.', 2) AS INTEGER) >= 10) OR (split_part(version, '.', 1) = '1' AND CAST(split_part(version, '.', 2) AS INTEGER) <= 29)
+ OR (split_part(version, '.', 1) = '1' AND CAST(split_part(version, '.', 2) AS INTEGER) = 30 AND split_part(version, '.', 3) = '0')""")
 def j21_approximation_versions(spark, d):
     p = table(spark, d, "part")
     o = p.select(F.col("p_partkey").alias("class"), F.concat_ws(".", (F.col("p_size") % 3).cast("string"), F.col("p_size").cast("string"), F.lit("0")).alias("version"))
