@@ -63,18 +63,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packed(x) -> bytes:
-    """The bytes of an array, compressed: many values travel as one field of a row."""
+    """The bytes of an array, compressed: many values travel as one field of a row. Equal places of all values stand together, where bytes of large numbers repeat."""
     import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    x = np.ascontiguousarray(x)
+    planes = x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(x: bytes, kind: type):
+    """The array that packed() took, flat."""
     import numpy as np
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def starts(*cols):
@@ -86,3 +90,9 @@ def starts(*cols):
     for c in cols:
         new[1:] |= c[1:] != c[:-1]
     return np.nonzero(new)[0]
+
+
+def set_aside(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns named like an operator's own renamed, and the selection that gives them their names back."""
+    clash = {c: f"__was_{c}" for c in docs.columns if c in own}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]

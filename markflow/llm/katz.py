@@ -44,8 +44,8 @@ from .common import unpacked as _u
 #: Lower bounds of the classes of counts.
 CLASSES = np.array([1, 2, 3, 4, 5, 6, 16])
 FREQUENT = 1024
-BLOCK_BYTES = 4 << 20
-BUCKET = 1_500_000
+BLOCK_BYTES = 8 << 20
+BUCKET = 2_400_000
 FOLDS, HELD_OUT = 7, 2
 START, END = b" ", b""
 _PACK = "kind byte, k long, p0 binary, p1 binary, p2 binary, p3 binary"
@@ -85,7 +85,7 @@ class Block:
         last = np.cumsum(self.lengths + 1) - 1
         self.w = np.delete(flat, np.r_[0, last[:-1] + 1])
         self.v = np.delete(flat, last)
-        self.row = np.repeat(np.arange(len(rows)), self.lengths)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.lengths)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
 
 
@@ -140,15 +140,16 @@ def _runs(slim: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
             width = int(len(b.hashes)).bit_length()
             order = np.argsort((bucket << (2 * width)) | (b.w << width) | b.v, kind="stable")
             bucket, w, v, rows = bucket[order], b.w[order], b.v[order], (b.row[order] * 2 + b.held[b.row[order]]).astype(np.uint32)
+            del order, mixed, hot
             cut = _starts(bucket)
             out = []
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(w)]):
                 pair = _starts(w[s:e], v[s:e]) + s
                 first = _starts(w[pair])
-                uv, at = np.unique(v[pair], return_inverse=True)
+                uv, at = np.unique(b.hashes[v[pair]], return_inverse=True)
                 out.append((
                     int(bucket[s]), base, _z(b.hashes[w[pair[first]]]), _z(np.diff(np.r_[first, len(pair)]).astype(np.uint32)),
-                    _z(b.hashes[uv]), _z(at.astype(np.uint32)), _z(np.diff(np.r_[pair, e]).astype(np.uint32)), _z(rows[s:e]),
+                    _z(uv), _z(at.astype(np.uint32)), _z(np.diff(np.r_[pair, e]).astype(np.uint32)), _z(rows[s:e]),
                 ))
                 if len(out) >= 64:
                     yield _batch(out)
@@ -207,15 +208,16 @@ def _bucket(t: pa.Table, total: int, types: int, d1: np.ndarray, seen_mass: floa
     bases = t.column("base").to_pylist()
     w, wi = np.unique(np.concatenate(cols["w"]), return_inverse=True)
     v, vi = np.unique(np.concatenate(cols["v"]), return_inverse=True)
+    wi, vi = wi.astype(np.int32), vi.astype(np.int32)
     o2, o1 = np.cumsum([0, *map(len, cols["w"])]), np.cumsum([0, *map(len, cols["v"])])
     pw = np.concatenate([np.repeat(wi[o2[i] : o2[i + 1]], m) for i, m in enumerate(cols["pairs"])])
     pv = np.concatenate([vi[o1[i] : o1[i + 1]][at] for i, at in enumerate(cols["at"])])
     train = np.concatenate([np.add.reduceat(1 - (r & 1).astype(np.int64), np.r_[0, np.cumsum(m[:-1], dtype=np.int64)]) for r, m in zip(cols["rows"], cols["n"])])
-    key = pw * len(v) + pv
+    key = pw.astype(np.int64) * len(v) + pv
     order = np.argsort(key)
     cut = _starts(key[order])
-    big = np.empty(len(key), np.int64)  # of each pair of a block: its bigram
-    big[order] = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(key)]))
+    big = np.empty(len(key), np.int32)  # of each pair of a block: its bigram
+    big[order] = np.repeat(np.arange(len(cut), dtype=np.int32), np.diff(np.r_[cut, len(key)]))
     count = np.add.reduceat(train[order], cut)
     big_w, big_v = pw[order[cut]], pv[order[cut]]
     c2 = np.bincount(pw, weights=train, minlength=len(w)).astype(np.int64)
