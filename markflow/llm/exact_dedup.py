@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pow2_bits, saved, sized, text_of
+from .common import pow2_bits, saved, set_aside, sized, text_of
 
 #: Bit positions per row. One hash function: at n rows a unique row is let through with probability of 1/32 at most.
 BITS_PER_ROW = 32
@@ -64,8 +64,9 @@ def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs less all but one row of each group of equal texts."""
+    docs, back = set_aside(docs, ["keep_id", "group_size", "kept", "text_sha256"])
     rows = dedup_table(docs, text, doc_id).where("kept")
     # Only where an id itself repeats are there two kept rows of one text.
     single = rows.where("group_size = 1")
     again = rows.where("group_size > 1").dropDuplicates([doc_id, "text_sha256"])
-    return single.unionByName(again).select(docs.columns)
+    return single.unionByName(again).select(back)

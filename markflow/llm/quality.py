@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import saved, set_aside, sized
 
 #: Labelled rows that the regression is fitted on, at most.
 SAMPLE = 20_000
@@ -35,6 +35,7 @@ STRENGTH = (5.0, 500.0)
 #: The shift that a site can give a text's log-odds, at most.
 SHIFT = 1.0
 N_FEATURES = 12
+OWN = ["p_text", "host_posterior", "path_posterior", "score", "keep"]
 _MARKS = b"#&*$%!@^~=+<>|\\/_{}[]"
 
 
@@ -147,7 +148,7 @@ def _logit(p: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, weights: np.ndarray | None = None) -> DataFrame:
     """docs with p_text, host_posterior, path_posterior, score (posterior probability of good quality) and keep."""
-    own = ["p_text", "host_posterior", "path_posterior", "score", "keep"]
+    own = OWN
     docs = docs.drop(*own)
     if weights is None:
         weights = train(docs, labels, text, doc_id)
@@ -164,4 +165,5 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    return classify(docs, labels, **options).where("keep").select(docs.columns)
+    docs, back = set_aside(docs, OWN)
+    return classify(docs, labels, **options).where("keep").select(back)
