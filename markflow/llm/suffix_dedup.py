@@ -41,7 +41,9 @@ HALF = (SIDE + 1) // 2
 BLOCK_BYTES = 4 << 20
 #: Anchors to a bucket, and bytes of contexts to a shard.
 BUCKET = 600_000
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 20
+#: Rows with packed spans up to which they are broadcast.
+SPAN_ROWS = 50_000
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -355,7 +357,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     asked = marks.where("n_firsts > 0")
     n = asked.agg(F.sum("n_firsts")).first()[0] or 0
     shards = max(12, math.ceil(2 * n * (2 * LENGTH - SEED - HALF) / SHARD_BYTES))
-    met = texts.join(sized(asked.select("doc_id", "tie", "firsts")), ["doc_id", "tie"]).select("doc_id", "tie", "text", "firsts")
+    met = texts.join(sized(asked.select("doc_id", "tie", "firsts"), SPAN_ROWS), ["doc_id", "tie"]).select("doc_id", "tie", "text", "firsts")
     more = saved(_contexts(met, shards).groupBy("shard").applyInArrow(_shard, "doc_id long, tie long, spans binary"), "sorted")
     release(spark)
     both = marks.select("doc_id", "tie", "spans").unionAll(more)
@@ -366,7 +368,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
 def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
     texts, copies, gone = spans(docs, text, doc_id)
-    met = texts.join(sized(gone), ["doc_id", "tie"], "left").select("doc_id", "text", "spans")
+    met = texts.join(sized(gone, SPAN_ROWS), ["doc_id", "tie"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
