@@ -17,6 +17,8 @@ results. Whole texts are read, however long. An empty table gives an empty resul
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections import deque
 from collections.abc import Iterator
 
@@ -155,15 +157,12 @@ class Automaton:
         return text[1:] if self.pieces.prefix and text.startswith(" ") else text
 
 
-_made: dict[str, Automaton] = {}
-
-
 def automaton(model: bytes, key: str) -> Automaton:
-    """One automaton per Python worker and model."""
-    if key not in _made:
-        _made.clear()
-        _made[key] = Automaton(Pieces(model))
-    return _made[key]
+    """One automaton per Python worker and model; it stays, with what it remembers, from task to task."""
+    made = sys.modules.setdefault("_markflow_automata", types.ModuleType("_markflow_automata")).__dict__
+    if key not in made:
+        made[key] = Automaton(Pieces(model))
+    return made[key]
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
