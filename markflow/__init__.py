@@ -1 +1,10 @@
-"""markflow: Spark-native mark propagation, entity relations, rules and patterns."""
+"""markflow: Spark-native mark propagation, entity relations, rules and patterns.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
