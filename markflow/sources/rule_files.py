@@ -70,7 +70,8 @@ def load_pattern_rules(spark: SparkSession, text: str, file: str = "", severitie
                         requires(s["requires"])
                 formulas[name] = ("taint", [formula(s) for s in r["pattern-sources"]], [formula(s) for s in r["pattern-sinks"]], [formula(s) for s in r.get("pattern-sanitizers", [])])
             elif mode == "join":
-                ons = [x.split() for x in r["join"]["on"]]
+                join = r["join"]
+                ons = [x.split() for x in (join["on"] if "on" in join else join[True])]  # YAML 1.1 reads a bare `on` as true
                 if any(len(x) != 3 or x[1] != "->" for x in ons) or len({x[2].split(".")[0] for x in ons}) != 1:
                     raise ValueError("only a -> b with one right side")
                 formulas[name] = ("join", [(x[0], x[2]) for x in ons])
