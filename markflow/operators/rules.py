@@ -87,3 +87,18 @@ def admitted(rules: DataFrame, severities: list[str] | None = None, cwes: list[i
     if cwes is not None:
         ok = ok & (F.col("cwe").isNull() | F.arrays_overlap("cwe", F.array(*[F.lit(c) for c in cwes])))
     return rules.where(ok)
+
+
+def default_getters(methods: DataFrame, project: DataFrame) -> DataFrame:
+    """Pass rules (callee, src, dst) for getters of classes outside the project: all marks of this go to the result, and to its elements where it may be an array."""
+    own = project.select("class").distinct()
+    g = methods.where("not is_static and name like 'get%'").join(own, "class", "left_anti").select(F.concat_ws("#", "class", "name").alias("callee"), F.lit("this").alias("src"), "returns")
+    plain = g.select("callee", "src", F.lit("result").alias("dst"))
+    may = F.col("returns").endswith("[]") | (F.col("returns") == "java.lang.Object")
+    return plain.unionByName(g.where(may).select("callee", "src", F.lit("result[*]").alias("dst"))).distinct()
+
+
+def concat_passes(calls: DataFrame, names: tuple[str, ...] = ("concat", "append", "makeConcatWithConstants")) -> DataFrame:
+    """Pass rules (callee, src, dst) of string concatenations: every argument goes to the result; calls(callee, name, n_args)."""
+    c = calls.where(F.col("name").isin(*names) & (F.col("n_args") > 0)).select("callee", "n_args").distinct()
+    return c.select("callee", F.explode(F.sequence(F.lit(0), F.col("n_args") - 1)).alias("i")).select("callee", F.concat(F.lit("arg"), "i").alias("src"), F.lit("result").alias("dst")).distinct()

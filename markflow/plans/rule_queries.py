@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions as C
 from ..functions import names as N
+from ..functions import paths as Pa
+from ..operators import code_patterns as CP
 from ..operators import hierarchy as H
 from ..operators import rules as R
 from ..runtime import table
@@ -196,3 +198,54 @@ def f10_f14_f15_x13_domain(spark, d):
 def r9_text_regex(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").where(t.rlike(r"(?i)licensed\s+under") & ~t.rlike("Apache")).select("doc_id")
+
+
+_PATHS = f"""{views.EVENTS}, p AS (SELECT event_id, list_transform(range(k % 4), lambda i: 'f' || ((k + i) % 3)) AS path, list_transform(range((k // 4) % 3), lambda i: 'f' || ((k + i) % 3)) AS init, 'f' || (k % 5) AS x, k % 7 = 0 AS u FROM ev)"""
+
+
+def _paths(spark, d):
+    k = F.col("k")
+    made = lambda n: F.expr(f"transform(slice(array(0, 1, 2, 3), 1, {n}), i -> concat('f', (k + i) % 3))")
+    own = F.struct((k % 7 == 0).alias("universe"), F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("f"), k % 5))).alias("items"))
+    return views.events(spark, d).select("event_id", made("k % 4").alias("path"), made("cast(floor(k / 4) % 3 as int)").alias("init"), own.alias("excl"))
+
+
+@query(f"""WITH {_PATHS}, r AS (SELECT *, path[len(init) + 1:] AS rest FROM p WHERE len(path) >= len(init) AND path[1:len(init)] = init)
+SELECT event_id, rest FROM r WHERE len(rest) = 0 OR NOT (u OR rest[1] = x)""")
+def j15_f18_p29_summary_delta(spark, d):
+    rows = _paths(spark, d).withColumn("rest", Pa.delta(F.col("path"), F.col("init"), F.col("excl")))
+    return rows.where("rest is not null").select("event_id", "rest")
+
+
+@query(f"""WITH {_PATHS}, r AS (SELECT *, path[len(init) + 1:] AS rest FROM p WHERE len(path) >= len(init) AND path[1:len(init)] = init)
+SELECT event_id, (['g', 'h'] || rest)[1:3] AS path, CASE WHEN len(rest) > 0 THEN false ELSE u END AS universe, CASE WHEN len(rest) > 0 THEN ['e'] WHEN u THEN [] ELSE list_sort(list_distinct(['e', x])) END AS items FROM r WHERE len(rest) = 0 OR NOT (u OR rest[1] = x)""")
+def j15_t22_summary_applied(spark, d):
+    got = Pa.applied(F.col("path"), Pa.excluded(["e"]), F.col("init"), F.array(F.lit("g"), F.lit("h")), F.col("excl"), 3)
+    return _paths(spark, d).withColumn("r", got).where("r is not null").select("event_id", "r.*")
+
+
+_CALLS = f"""{views.EVENTS}, c AS (SELECT user_id AS m, n, event_type AS callee, 'v' || (k % 6) AS result, 'v' || ((k // 6) % 6) AS a FROM ev)"""
+
+
+def _calls(spark, d):
+    e = views.events(spark, d)
+    return e.select(F.col("user_id").alias("m"), "n", F.col("event_type").alias("callee"), F.concat(F.lit("v"), F.col("k") % 6).alias("result"), F.array(F.concat(F.lit("v"), F.floor(F.col("k") / 6) % 6)).alias("args"))
+
+
+@query(f"""WITH {_CALLS} SELECT DISTINCT a.m, a.n AS first, c.n AS last, a.result AS x, b.result AS y FROM c a JOIN c b ON b.m = a.m AND b.n = a.n + 1 AND b.callee = 'click' AND b.a = a.result JOIN c ON c.m = a.m AND c.n > b.n AND c.callee = 'purchase' AND c.a = b.result WHERE a.callee = 'signup'""")
+def r16_r17_r19_r33_code_pattern(spark, d):
+    got = CP.match(_calls(spark, d), CP.parse("$X = signup(...); $Y = click($X); ... purchase($Y);"))
+    return got.select("m", "first", "last", F.col("`$X`").alias("x"), F.col("`$Y`").alias("y"))
+
+
+@query("SELECT p_brand || '#get' || p_type AS callee, 'this' AS src, 'result' AS dst FROM part WHERE p_size % 2 = 0 AND p_brand NOT IN ('Brand#1', 'Brand#2') UNION SELECT p_brand || '#get' || p_type, 'this', 'result[*]' FROM part WHERE p_size % 2 = 0 AND p_size % 3 = 0 AND p_brand NOT IN ('Brand#1', 'Brand#2')")
+def t15_default_getters(spark, d):
+    p = table(spark, d, "part")
+    m = p.select(F.col("p_brand").alias("class"), F.concat(F.when(F.col("p_size") % 2 == 0, "get").otherwise("put"), "p_type").alias("name"), F.lit(False).alias("is_static"), F.when(F.col("p_size") % 3 == 0, "int[]").otherwise("int").alias("returns"))
+    return R.default_getters(m, spark.createDataFrame([("Brand#1",), ("Brand#2",)], "class string"))
+
+
+@query("SELECT DISTINCT 'S#' || p_partkey AS callee, 'arg' || i AS src, 'result' AS dst FROM part, range(3) r(i) WHERE p_size % 4 = 1 AND i < p_size % 3")
+def t16_f13_concat_passes(spark, d):
+    c = table(spark, d, "part").select(F.concat(F.lit("S#"), "p_partkey").alias("callee"), F.when(F.col("p_size") % 4 == 1, "concat").otherwise("trim").alias("name"), (F.col("p_size") % 3).cast("int").alias("n_args"))
+    return R.concat_passes(c)
