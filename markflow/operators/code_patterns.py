@@ -114,3 +114,47 @@ def match(calls: DataFrame, steps: list[Step]) -> DataFrame:
         out = out.join(h, on).select("m", "first", F.col("h_n").alias("last"), *[F.col(f"`{x}`") for x in names], *[F.col(f"`h_{x}`").alias(x) for x in new])
         names += new
     return out.distinct()
+
+
+_COMPARE = re.compile(r"^\s*(\$\w+)\s*(==|!=|<=|>=|<|>)\s*(-?\d+)\s*$")
+
+
+def constrained(matches: DataFrame, metavariable: str | None = None, regex: str | None = None, comparison: str | None = None) -> DataFrame:
+    """matches whose metavariable's text matches a regular expression (from its start), or for which '$X > 5' holds."""
+    if regex is not None:
+        return matches.where(F.col(f"`{metavariable}`").rlike(f"^(?:{regex})"))
+    m = _COMPARE.match(comparison or "")
+    if not m:
+        raise ValueError(f"no comparison: {comparison!r}")
+    x, bound = F.col(f"`{m[1]}`").try_cast("bigint"), int(m[3])
+    return matches.where({"==": x == bound, "!=": x != bound, "<": x < bound, "<=": x <= bound, ">": x > bound, ">=": x >= bound}[m[2]])
+
+
+def focused(matches: DataFrame, metavariable: str) -> DataFrame:
+    """(m, last, value): matches narrowed to one metavariable."""
+    return matches.select("m", "last", F.col(f"`{metavariable}`").alias("value")).distinct()
+
+
+def taint_mode(calls: DataFrame, sources: list[str], sinks: list[str], sanitizers: list[str] = (), focus: str = "$X") -> DataFrame:
+    """(m, n, value): sinks reached by a value that a source pattern bound to `focus` and no sanitizer pattern has had since.
+
+    The value is followed by its text within one method; a later write of it by any call that is no source ends it.
+    """
+    from .windows import last_before
+
+    def at(patterns: list[str], what: int) -> DataFrame:
+        out = None
+        for p in patterns:
+            x = focused(match(calls, parse(p)), focus).select("m", F.col("last").alias("n"), "value", F.lit(what).alias("what"))
+            out = x if out is None else out.unionByName(x)
+        return out.distinct()
+
+    marks = at(sources, 2)
+    writes = calls.where("result is not null").select("m", "n", F.col("result").alias("value"), F.lit(0).alias("what")).join(marks.select("m", "n", "value"), ["m", "n", "value"], "left_anti")
+    rows = marks.unionByName(at(sinks, 1)).unionByName(writes)
+    if sanitizers:
+        rows = rows.unionByName(at(list(sanitizers), 0))
+    # A call's arguments are read before its result is written.
+    rows = rows.withColumn("turn", F.when(F.col("what") == 1, 0).otherwise(1))
+    state = last_before(rows, ["m", "value"], ["n", "turn", "what"], F.when(F.col("what") == 2, 1).when(F.col("what") == 0, 0), "marked")
+    return state.where("what = 1 and marked = 1").select("m", "n", "value").distinct()

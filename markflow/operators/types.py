@@ -71,3 +71,12 @@ def approximations(originals: DataFrame, models: DataFrame) -> DataFrame:
 def substituted(bodies: DataFrame, models: DataFrame) -> DataFrame:
     """bodies(method, body) with those that models(method, body) replaces."""
     return bodies.join(models.select("method").distinct(), "method", "left_anti").unionByName(models.select("method", "body"))
+
+
+def least_upper_bounds(pairs: DataFrame, above: DataFrame) -> DataFrame:
+    """(a, b, lub): the nearest common super of pairs(a, b) over above(node, super, depth); ties go to the smaller name."""
+    own = above.select("node", "super", "depth").unionByName(above.select("node").distinct().select("node", F.col("node").alias("super"), F.lit(0).alias("depth")))
+    left = own.select(F.col("node").alias("a"), F.col("super").alias("lub"), F.col("depth").alias("da"))
+    right = own.select(F.col("node").alias("b"), F.col("super").alias("lub"), F.col("depth").alias("db"))
+    met = pairs.join(left, "a").join(right, ["b", "lub"])
+    return met.groupBy("a", "b").agg(F.min_by("lub", F.struct(F.col("da") + F.col("db"), "lub")).alias("lub"))

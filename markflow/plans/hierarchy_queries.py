@@ -190,3 +190,19 @@ def j11_t14_resolve_calls(spark, d):
     o = table(spark, d, "part").select(F.concat(F.lit("T"), F.col("p_partkey") % 40).alias("class"), F.concat(F.lit("f"), F.col("p_size") % 3).alias("method"), F.concat(F.lit("U"), F.col("p_size") % 10).alias("by")).distinct()
     u = table(spark, d, "region").select(F.concat(F.lit("U"), "r_regionkey").alias("unit_class"))
     return T.resolve_calls(c, o, u)
+
+
+@query(f"""WITH RECURSIVE {E}, h AS (SELECT child AS node, child AS super, 0 AS depth FROM e WHERE child LIKE 'C%' UNION ALL SELECT h.node, e.parent, h.depth + 1 FROM h JOIN e ON e.child = h.super),
+p AS (SELECT 'C' || c_custkey AS a, 'C' || (c_custkey % 50 + 1) AS b FROM customer), m AS (SELECT p.a, p.b, x.super AS lub, row_number() OVER (PARTITION BY p.a, p.b ORDER BY x.depth + y.depth, x.super) AS r FROM p JOIN h x ON x.node = p.a JOIN h y ON y.node = p.b AND y.super = x.super) SELECT a, b, lub FROM m WHERE r = 1""")
+def a13_least_upper_bounds(spark, d):
+    c = table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("C"), F.col("c_custkey") % 50 + 1).alias("b"))
+    above = H.ascend(views.edges(spark, d, orders=False), c.select(F.col("a").alias("node")))
+    return T.least_upper_bounds(c, above)
+
+
+@query(f"WITH {views.CALLS} SELECT DISTINCT callee, caller FROM calls WHERE callee % 50 = 1 AND opcode IN ('NO')")
+def x1_feature_usages(spark, d):
+    from ..operators.features import Database, Usages
+
+    db = Database({"calls": views.calls(spark, d)}, [Usages()])
+    return db.query("usages", callees=table(spark, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("callee")), opcodes=["NO"])

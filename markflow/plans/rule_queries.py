@@ -249,3 +249,62 @@ def t15_default_getters(spark, d):
 def t16_f13_concat_passes(spark, d):
     c = table(spark, d, "part").select(F.concat(F.lit("S#"), "p_partkey").alias("callee"), F.when(F.col("p_size") % 4 == 1, "concat").otherwise("trim").alias("name"), (F.col("p_size") % 3).cast("int").alias("n_args"))
     return R.concat_passes(c)
+
+
+@query(f"""WITH {_CALLS} SELECT DISTINCT a.m, b.n AS last, b.a AS value FROM c a JOIN c b ON a.m = b.m AND b.n > a.n AND b.callee = 'purchase' AND b.a = a.result WHERE a.callee = 'signup' AND regexp_matches(a.result, '^v[0-3]')""")
+def r6_r10_constrained_focus(spark, d):
+    got = CP.match(_calls(spark, d), CP.parse("$X = signup(...); ... purchase($X);"))
+    return CP.focused(CP.constrained(got, "$X", regex="v[0-3]"), "$X")
+
+
+@query(f"""WITH {views.EVENTS} SELECT user_id AS m, n AS last, CAST(k AS VARCHAR) AS value FROM ev WHERE event_type = 'click' AND k > 40 AND k <= 60""")
+def r8_metavariable_comparison(spark, d):
+    e = views.events(spark, d).select(F.col("user_id").alias("m"), "n", F.col("event_type").alias("callee"), F.lit(None).cast("string").alias("result"), F.array(F.col("k").cast("string")).alias("args"))
+    got = CP.match(e, CP.parse("click($X);"))
+    return CP.focused(CP.constrained(CP.constrained(got, comparison="$X > 40"), comparison="$X <= 60"), "$X")
+
+
+@query(f"""WITH {_CALLS}, r AS (SELECT m, n, result AS value, CASE WHEN callee = 'signup' THEN 2 ELSE 0 END AS what FROM c UNION SELECT m, n, a, 0 FROM c WHERE callee = 'error' UNION SELECT m, n, a, 1 FROM c WHERE callee = 'purchase'),
+s AS (SELECT *, last_value(CASE what WHEN 2 THEN 1 WHEN 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY m, value ORDER BY n, CASE WHEN what = 1 THEN 0 ELSE 1 END, what ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS marked FROM r)
+SELECT DISTINCT m, n, value FROM s WHERE what = 1 AND marked = 1""")
+def r11_taint_mode(spark, d):
+    return CP.taint_mode(_calls(spark, d), ["$X = signup(...)"], ["purchase($X)"], ["error($X)"])
+
+
+@query("SELECT p_partkey AS location, 'lib' || i || '.jar' AS entry FROM part, range(5) r(i) WHERE i < p_size % 4")
+def s5_manifest_class_path(spark, d):
+    from ..sources.classfiles import manifest_class_path
+
+    entries = F.array_join(F.expr("transform(slice(array(0, 1, 2), 1, p_size % 4), i -> concat('lib', i, '.jar'))"), " ")
+    text = F.concat(F.lit("Manifest-Version: 1.0\n"), F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("Class-Path: "), entries)).otherwise("X: y"), F.lit("\n"))
+    return manifest_class_path(table(spark, d, "part").select(F.col("p_partkey").alias("location"), text.alias("text")))
+
+
+@query("SELECT p_brand AS class, p_type AS method, 'r1' AS rule_id, 'source' AS kind FROM part WHERE p_brand = 'Brand#7' AND p_type = 'PROMO' UNION SELECT p_brand, p_type, 'r2', 'sink' FROM part WHERE p_brand = 'Brand#9'")
+def s11_rule_file_bound(spark, d):
+    from ..sources.rule_files import load_taint_config
+
+    text = "source: [{id: r1, function: 'Brand#7', taint: [{kind: t, pos: result}]}]\n"
+    text = text.replace("'Brand#7'", "{class: 'x', name: PROMO}") + "sink: [{id: r2, function: {class: 'x', name: '*'}, taint: [{kind: t, pos: arg(0)}]}]\n"
+    rules, _ = load_taint_config(spark, text)
+    # The classes of this table have no package, so the file's class pattern is given here.
+    named = rules.withColumns({"how_class": F.lit("eq"), "class": F.when(F.col("rule_id") == "r1", "Brand#7").otherwise("Brand#9")})
+    methods = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.col("p_type").alias("method")).distinct()
+    return R.bind(methods, named.select("rule_id", "kind", "how_class", "class", "how_method", "method", "overrides"))
+
+
+@query(f"""WITH {views.EVENTS} SELECT event_id FROM ev WHERE event_type = 'view' AND k % 4 <> 0 AND 'f' || (k % 3) = 'f1'""")
+def p16_p17_marks_under_position(spark, d):
+    facts = views.events(spark, d).where("event_type = 'view'").select("event_id", F.expr("transform(slice(array(0, 1, 2, 3), 1, k % 4), i -> concat('f', (k + i) % 3))").alias("path"))
+    return facts.where(Pa.starts_with(F.col("path"), F.array(F.lit("f1")))).select("event_id")
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
+def u9_bitmap_count(spark, d):
+    ids = table(spark, d, "lineitem").select(F.bitmap_bucket_number("l_partkey").alias("b"), F.bitmap_bit_position("l_partkey").alias("p"))
+    return ids.groupBy("b").agg(F.bitmap_count(F.bitmap_construct_agg("p")).alias("c")).agg(F.sum("c").alias("n"))
+
+
+@query("SELECT p_partkey, list_sort([p_type, 'K' || p_size, '[*]']) AS accessors FROM part")
+def o8_accessor_order(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_sort(F.array("p_type", F.concat(F.lit("K"), "p_size"), F.lit("[*]"))).alias("accessors"))
