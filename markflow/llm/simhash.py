@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, sized
+from .common import release, saved, shuffle_partitions, sized
 
 WORDS = 4
 SEED = 42
@@ -35,6 +35,8 @@ SEGMENTS = 8
 CHAIN = 3
 #: Members of a file that one task compares at a time.
 BLOCK = 4096
+#: Distinct fingerprints that one task files.
+SPREAD = 250_000
 
 
 def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -147,7 +149,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
                 key, who = filed(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[who].view(np.int64))], names=["key", "fp"])
 
-    files = fps.select("fp").mapInArrow(file, "key long, fp long")
+    # A fingerprint makes about 70 rows: a task gets so few of them that its part of the shuffle stays small.
+    parts = max(shuffle_partitions(fps.sparkSession), fps.count() // SPREAD)
+    files = fps.select("fp").repartition(parts, "fp").mapInArrow(file, "key long, fp long")
     crowds = saved(files.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {block}"), "crowds")
     files = files.join(sized(crowds), "key", "left") if crowds.limit(1).count() else files.withColumn("n", F.lit(None).cast("long"))
     # A crowd of c blocks: each member goes to the c tasks that pair its block with another (or itself).
