@@ -5,9 +5,7 @@ g names the graph (a method); all graphs are worked on at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import fixpoint, saved
@@ -143,18 +141,13 @@ def live_variables(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFr
     return kept.unionByName(uses.select("g", "node", F.col("var").alias("fact"))).distinct().withColumnRenamed("fact", "var")
 
 
-def meet_states(a: Column, b: Column) -> Column:
-    """Nullness lattice: equal states stay, UNKNOWN and any mix give UNKNOWN."""
-    return F.when(a == b, a).otherwise("UNKNOWN")
-
-
 def null_states(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(g, node, var, state): backward assumption NULL or NON_NULL from known(g, node, var, state), UNKNOWN where paths differ."""
     facts = flow(edges, known.select("g", "node", F.struct("var", "state").alias("fact")), known.select("g", "node", F.struct("var", "state").alias("fact")).limit(0), forward=False)
     return facts.select("g", "node", "fact.*").groupBy("g", "node", "var").agg(F.when(F.count_distinct("state") == 1, F.first("state")).otherwise("UNKNOWN").alias("state"))
 
 
-def connected(edges: DataFrame, fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(g, node, root): undirected components by smallest label, as aliases that are merged; edges(g, src, dst)."""
     both = saved(edges.unionByName(reversed_edges(edges)).where("src <> dst").distinct(), "both")
     nodes = edges.select("g", F.col("src").alias("node")).unionByName(edges.select("g", F.col("dst").alias("node"))).distinct()
@@ -168,4 +161,4 @@ def connected(edges: DataFrame, fold: Callable[[DataFrame], DataFrame] | None =
         changed = new.join(label.withColumnRenamed("root", "old"), ["g", "node"]).where("root <> old").limit(1).count()
         label = new
         if not changed:
-            return label if fold is None else fold(label)
+            return label

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.names import has_flag
 from ..operators import store
 from ..runtime import table
-from . import views
 from .registry import query
 
 
