@@ -338,7 +338,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     buckets = max(12, math.ceil(total * FOLDS / (FOLDS - 1) / BUCKET))
     packed = _runs(slim, buckets, hot)
     # The rows of blocks (bucket -1) are dealt by block.
-    group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("base"), F.lit(64))).otherwise(F.col("bucket")).cast("int")
+    group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("base"), F.lit(max(64, buckets)))).otherwise(F.col("bucket")).cast("int")
     bigrams = saved(packed.withColumn("bucket", group).groupBy("bucket").applyInArrow(lambda t: _bucket(t, total, types, d1, seen_mass, hot, hot_n, buckets), _PACK), "bigrams")
     release(spark)
     seen = np.zeros((2, 18), np.int64)

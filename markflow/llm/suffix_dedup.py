@@ -348,7 +348,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     copies = maybe.where("doc_id <> __first").select("doc_id", "text")
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(total * 2 / (SIDE + 2) / BUCKET))
-    group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("k"), F.lit(64))).otherwise(F.col("bucket")).cast("int")
+    group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("k"), F.lit(max(64, buckets)))).otherwise(F.col("bucket")).cast("int")
     dealt = _dealt(texts, buckets).withColumn("bucket", group)
     found = saved(dealt.groupBy("bucket").applyInArrow(_bucket, _PACK), "anchors")
     release(spark)
