@@ -96,3 +96,12 @@ def set_aside(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]
     """docs with columns named like an operator's own renamed, and the selection that gives them their names back."""
     clash = {c: f"__was_{c}" for c in docs.columns if c in own}
     return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+
+
+def trim() -> None:
+    """Gives memory that freed arrays left in this worker's heap back to the system, where the C library can."""
+    import ctypes
+
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)

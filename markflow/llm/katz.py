@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import packed as _z
 from .common import release, saved
 from .common import starts as _starts
+from .common import trim
 from .common import unpacked as _u
 
 #: Lower bounds of the classes of counts.
@@ -156,6 +157,8 @@ def _runs(slim: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                     out = []
             if out:
                 yield _batch(out)
+            del b, bucket, w, v, rows, out
+            trim()
 
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
     names = ["bucket", "base", "w", "pairs", "v", "at", "n", "rows"]
@@ -204,6 +207,7 @@ def _bucket(t: pa.Table, total: int, types: int, d1: np.ndarray, seen_mass: floa
         names = [t.column(c) for c in ("base", "w", "pairs", "n", "rows")]
         kinds = (np.int64, bool, np.int64, bool)
         return _pack([(ROWS, base.as_py(), *[_u(x.as_py(), k) for x, k in zip(more, kinds)]) for base, *more in zip(*names)])
+    trim()
     cols = {c: [_u(x.as_py(), k) for x in t.column(c)] for c, k in (("w", np.uint64), ("pairs", np.uint32), ("v", np.uint64), ("at", np.uint32), ("n", np.uint32), ("rows", np.uint32))}
     bases = t.column("base").to_pylist()
     w, wi = np.unique(np.concatenate(cols["w"]), return_inverse=True)
@@ -261,6 +265,7 @@ def _bucket(t: pa.Table, total: int, types: int, d1: np.ndarray, seen_mass: floa
             x = at[order[s:e]]
             out.append((BEFORE, int(to[order[s]]), v[x], mass[x], by_class[x]) if kind == BEFORE else (UNSEEN, int(to[order[s]]), v[lv[x]], lrow[x]))
     r = np.minimum(count[seen], 17)
+    trim()
     out.append((COUNTS, 0, np.bincount(r, minlength=18), np.bincount(r, weights=count[seen], minlength=18).astype(np.int64)))
     return _pack(out)
 

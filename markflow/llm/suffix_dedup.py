@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, release, saved, sized, starts, text_of, unpacked
+from .common import packed, release, saved, sized, starts, text_of, trim, unpacked
 from .exact_dedup import marked
 from .suffix_array import common_prefixes, suffix_array
 
@@ -168,6 +168,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
                 used, row = np.unique(doc[x], return_inverse=True)
                 out.append((int(bucket[s]), base, np.stack([seed[x], context[x]]), np.stack([doc[x].astype(np.uint32), where[x]]), row.astype(np.uint32), np.stack([ids[used], ties[used]])))
             yield from _pack(out, "bucket", pa.int32()).to_batches()
+            trim()
 
     return texts.mapInArrow(run, "bucket int, k long, p0 binary, p1 binary, p2 binary, p3 binary")
 
@@ -269,6 +270,7 @@ def _contexts(met: DataFrame, shards: int) -> DataFrame:
 
 def _shard(t: pa.Table) -> pa.Table:
     """Contexts of a shard: spans of LENGTH-byte strings that start earlier in another context, per document."""
+    trim()
     key = t.column("key").to_numpy()
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     ids, ties, at = (t.column(c).to_numpy() for c in ("doc_id", "tie", "at"))
