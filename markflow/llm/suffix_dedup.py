@@ -41,9 +41,9 @@ HALF = (SIDE + 1) // 2
 BLOCK_BYTES = 4 << 20
 #: Anchors to a bucket, and bytes of contexts to a shard.
 BUCKET = 600_000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Rows with packed spans up to which they are broadcast.
-SPAN_ROWS = 50_000
+SPAN_ROWS = 200_000
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
