@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markflow.llm import exact_dedup, mixing, quality, sentencepiece, simhash
+from markflow.llm import exact_dedup, mixing, near_copies, quality, sentencepiece
 from markflow.llm.common import saved, table
 
 PIECES = os.environ.get("MARKFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-equal fingerprints."""
-    return simhash.near_dedup(docs)
+    """One row of each component of near copies: five-word shingles, similarity of 0.8 or more."""
+    return near_copies.near_dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

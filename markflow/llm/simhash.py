@@ -19,7 +19,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +39,13 @@ BLOCK = 4096
 SPREAD = 250_000
 
 
-def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Fingerprint of one text: A-Z lower-cased, words between ASCII white space, shingles of `words`, repeats included."""
+def digests(text: str | None, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in parts: A-Z lower-cased, words between ASCII white space, repeats included."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     flat = memoryview(b" ".join(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -54,20 +54,26 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     else:
         starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(flat[s:e], seed) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist())], np.uint64)
+    for at in range(0, len(starts), 1 << 16):
+        yield np.array([digest(flat[s:e], seed) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist())], np.uint64)
+
+
+def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Fingerprint of one text over shingles of `words`, repeats included."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in digests(text, words, seed):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(doc_id, tie, fp): fp is the fingerprint as a signed long, tie a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            fps = np.array([simhash(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
 
     body = F.col(text).cast("string")
@@ -222,18 +228,21 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(row)
 
 
-def _labelled(docs: DataFrame, text: str, doc_id: str, distance: int) -> DataFrame:
-    """(doc_id, tie, fp, first) per row: first is the struct (no_id, doc_id, tie) of the row that stands for the component."""
-    prints = saved(fingerprints(docs, text, doc_id), "prints")
+def standing(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """prints(doc_id, tie, fp) with first: the struct (no_id, doc_id, tie) of the row that stands for the component of links(distinct fp)."""
     unique = saved(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")), "unique")
-    roots = components(links(unique, distance))
-    release(docs.sparkSession)
+    roots = components(links(unique))
+    release(prints.sparkSession)
     known = saved(unique.join(sized(roots), unique["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     firsts = saved(known.groupBy("root").agg(F.min("first").alias("first")), "firsts")
     named = saved(known.drop("first").join(sized(firsts), "root").select("fp", "first"), "named")
     return prints.join(sized(named), "fp")
 
 
+def _labelled(docs: DataFrame, text: str, doc_id: str, distance: int) -> DataFrame:
+    return standing(saved(fingerprints(docs, text, doc_id), "prints"), lambda unique: links(unique, distance))
+
+
 def near_dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id in its component)."""
     rows = _labelled(docs, text, doc_id, distance)
@@ -241,11 +250,16 @@ def near_dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (of rows that repeat an id, by a hash of the text).
+    """docs with one row of each component: the one with the smallest id (of rows that repeat an id, by a hash of the text)."""
+    return standing_only(docs, _labelled(docs, text, doc_id, distance), text, doc_id)
+
+
+def standing_only(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of docs that stand for their component, given rows(doc_id, tie, first).
 
     Texts move only where rows repeat id and text, or where more rows go than a broadcast may hold.
     """
-    rows = saved(_labelled(docs, text, doc_id, distance), "labels")
+    rows = saved(rows, "labels")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
     gone = saved(rows.where(~stays).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "gone")
     again = saved(rows.where(stays).groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")), "again")
