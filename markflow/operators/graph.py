@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import fixpoint, saved
+from ..runtime import closed, saved
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(g, node): nodes reachable from seeds(g, node), those included."""
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
-    rows, _ = fixpoint(seeds.select("g", "node"), lambda new, n: new.join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s"))).select("g", F.col("__d").alias("node")), None, max_depth)
+    rows = closed(seeds.select("g", "node"), lambda new, n: new.join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s"))).select("g", F.col("__d").alias("node")), None, max_depth)
     return rows
 
 
@@ -22,7 +22,7 @@ def reach_pairs(edges: DataFrame) -> DataFrame:
     """(g, a, b): b can be reached from a by one edge or more."""
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     seed = edges.select("g", F.col("src").alias("a"), F.col("dst").alias("b"))
-    rows, _ = fixpoint(seed, lambda new, n: new.join(e, (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__s"))).select("g", "a", F.col("__d").alias("b")))
+    rows = closed(seed, lambda new, n: new.join(e, (F.col("g") == F.col("__g")) & (F.col("b") == F.col("__s"))).select("g", "a", F.col("__d").alias("b")))
     return rows
 
 
@@ -39,7 +39,7 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     live = reach(edges, entries)
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     starts = live.select("g", F.col("node").alias("cut")).join(entries.select("g", "node"), "g").where("node <> cut")
-    avoiding, _ = fixpoint(
+    avoiding = closed(
         starts.select("g", "cut", "node"),
         lambda new, n: new.join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s")) & (F.col("__d") != F.col("cut"))).select("g", "cut", F.col("__d").alias("node")),
     )
@@ -59,7 +59,7 @@ def loops(edges: DataFrame, doms: DataFrame) -> DataFrame:
     back = edges.join(doms.select("g", F.col("node").alias("src"), F.col("dom").alias("dst")), ["g", "src", "dst"], "left_semi")
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     seed = back.select("g", F.col("dst").alias("head"), F.col("src").alias("node")).unionByName(back.select("g", F.col("dst").alias("head"), F.col("dst").alias("node")))
-    body, _ = fixpoint(seed, lambda new, n: new.where("node <> head").join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__d"))).select("g", "head", F.col("__s").alias("node")))
+    body = closed(seed, lambda new, n: new.where("node <> head").join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__d"))).select("g", "head", F.col("__s").alias("node")))
     return body
 
 
@@ -92,14 +92,14 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(least, ["g", "node"], "left").select("g", "node", F.least(F.coalesce("low", "node"), F.col("node")).alias("scc"))
 
 
-def levels(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(g, node, level): longest path to a node over edges that go forward (src < dst); a topological order."""
     fwd = edges.where("src < dst").select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     nodes = edges.select("g", F.col("src").alias("node")).unionByName(edges.select("g", F.col("dst").alias("node"))).distinct()
     heads = nodes.join(fwd.select(F.col("__g").alias("g"), F.col("__d").alias("node")).distinct(), ["g", "node"], "left_anti")
     seed = heads.select("g", "node", F.lit(0).alias("level"))
     # The set of (node, length of some path) is finite on forward edges; the level is the longest.
-    rows, _ = fixpoint(seed, lambda new, n: new.join(fwd, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s"))).select("g", F.col("__d").alias("node"), (F.col("level") + 1).alias("level")), None, max_depth)
+    rows = closed(seed, lambda new, n: new.join(fwd, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s"))).select("g", F.col("__d").alias("node"), (F.col("level") + 1).alias("level")), None, max_depth)
     return rows.groupBy("g", "node").agg(F.max("level").alias("level"))
 
 
@@ -115,7 +115,7 @@ def flow(edges: DataFrame, gen: DataFrame, kill: DataFrame, forward: bool = True
         return rows.join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__s"))).select("g", F.col("__d").alias("node"), "fact")
 
     dead = kill.select("g", "node", "fact").distinct()
-    rows, _ = fixpoint(over(gen.select("g", "node", "fact")), lambda new, n: over(new.join(dead, ["g", "node", "fact"], "left_anti")))
+    rows = closed(over(gen.select("g", "node", "fact")), lambda new, n: over(new.join(dead, ["g", "node", "fact"], "left_anti")))
     return rows
 
 
@@ -130,7 +130,7 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
     def step(new: DataFrame, n: int) -> DataFrame:
         return over(new.join(d, (F.col("g") == F.col("__kg")) & (F.col("node") == F.col("__kn")) & (F.col("var") == F.col("__kv")), "left_anti"))
 
-    rows, _ = fixpoint(over(defs.select("g", "node", "var", F.col("node").alias("at"))), step)
+    rows = closed(over(defs.select("g", "node", "var", F.col("node").alias("at"))), step)
     return rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import fixpoint
+from ..runtime import closed
 
 
 def children(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def children(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return edges.join(roots, edges["parent"] == roots["root"]).select("root", F.col("child").alias("node")).distinct()
 
 
-def descend(edges: DataFrame, roots: DataFrame, visible: DataFrame | None = None, inside: bool = False, max_depth: int = 100) -> DataFrame:
+def descend(edges: DataFrame, roots: DataFrame, visible: DataFrame | None = None, inside: bool = False, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): everything below roots(root), nearest depth, by a semi-naive loop (cycles and diamonds end).
 
     visible(location): children outside are dropped from the result, or, with inside, are not passed through either.
@@ -29,7 +29,7 @@ def descend(edges: DataFrame, roots: DataFrame, visible: DataFrame | None = None
         met = new.select("root", "node").join(links, F.col("node") == F.col("__parent"))
         return met.select("root", F.col("__child").alias("node"), F.col("__location").alias("location"), F.lit(n + 1).alias("depth"))
 
-    rows, _ = fixpoint(seed.select(cols), step, ["root", "node"], max_depth)
+    rows = closed(seed.select(cols), step, ["root", "node"], max_depth)
     if visible is not None and not inside:
         rows = rows.join(visible.select("location").distinct(), "location", "left_semi")
     return rows.select("root", "node", "depth")
@@ -41,11 +41,11 @@ def ascend(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return descend(turned, nodes.select(F.col("node").alias("root"))).select(F.col("root").alias("node"), F.col("node").alias("super"), "depth")
 
 
-def closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(a, b): b is reachable from a over edges(src, dst)."""
     links = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
     seed = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    rows, _ = fixpoint(seed, lambda new, n: new.join(links, F.col("b") == F.col("__s")).select("a", F.col("__d").alias("b")), None, max_depth)
+    rows = closed(seed, lambda new, n: new.join(links, F.col("b") == F.col("__s")).select("a", F.col("__d").alias("b")), None, max_depth)
     return rows
 
 

@@ -72,7 +72,7 @@ def combine(base: DataFrame, custom: DataFrame, modes: dict[str, str] = COMBINE)
     return base.where(mode != "OVERRIDE").unionByName(custom.where(mode != "IGNORE")).distinct()
 
 
-def meta_annotated(annotations: DataFrame, max_depth: int = 20) -> DataFrame:
+def meta_annotated(annotations: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(name, via): annotation names with all they are annotated with in turn; annotations(name, on) says `name` carries `on`."""
     from .hierarchy import closure
 

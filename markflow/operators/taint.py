@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import fixpoint, saved
+from ..runtime import closed, saved
 from .windows import last_before
 
 #: Accessors of a path; longer ones are cut, with what they held kept at the cut.
@@ -61,7 +61,7 @@ def _actuals(inst: DataFrame, args: DataFrame) -> DataFrame:
     return named.unionByName(calls.where("lhs is not null").select("m", "n", "callee", F.lit("result").alias("pos"), F.col("lhs").alias("base"), F.coalesce("lhs_path", F.lit("")).alias("at_path")))
 
 
-def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, known_methods: DataFrame, entries: DataFrame, max_rounds: int = 200) -> DataFrame:
+def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, known_methods: DataFrame, entries: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All facts(FACT). known_methods(callee) have bodies; entries(m) are where analysis starts; statement 0 is a method's entry.
 
     Calls: cleaners act first, then passes copy, the facts on actuals enter known callees, facts that reach a return come
@@ -143,7 +143,7 @@ def propagate(inst: DataFrame, flow: DataFrame, args: DataFrame, rules: Rules, k
     made = rules.sources.select(F.col("callee").alias("s_callee"), F.col("pos").alias("s_pos"), F.col("mark").alias("s_mark"))
     seed = actual.join(made, (F.col("a_callee") == F.col("s_callee")) & (F.col("a_pos") == F.col("s_pos")))
     seed = forward(seed.select(F.col("a_m").alias("m"), F.lit("").alias("init"), F.col("a_n").alias("n"), F.col("a_base").alias("base"), F.col("a_at_path").alias("path"), F.col("s_mark").alias("mark")))
-    rows, _ = fixpoint(seed, step, None, max_rounds)
+    rows = closed(seed, step, None, max_rounds)
     return rows
 
 
@@ -160,17 +160,17 @@ def findings(facts: DataFrame, inst: DataFrame, args: DataFrame, sinks: DataFram
     return got.where("got = need").select("sink_id", "m", "n")
 
 
-def shortest_trace(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 50) -> DataFrame:
+def shortest_trace(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(sink, node, level): nodes on shortest paths from sources(node) to sinks(node) over edges(src, dst), by level.
 
     Forward levels from all sources by a fixpoint, then backward from each sink over edges that go one level down.
     """
     e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
     seed = sources.select("node", F.lit(0).alias("level"))
-    levels, _ = fixpoint(seed, lambda new, n: new.join(e, F.col("node") == F.col("__s")).select(F.col("__d").alias("node"), (F.col("level") + 1).alias("level")), ["node"], max_depth)
+    levels = closed(seed, lambda new, n: new.join(e, F.col("node") == F.col("__s")).select(F.col("__d").alias("node"), (F.col("level") + 1).alias("level")), ["node"], max_depth)
     at = levels.select(F.col("node").alias("__n"), F.col("level").alias("__l"))
     ends = sinks.join(levels, "node").select(F.col("node").alias("sink"), "node", "level")
-    back, _ = fixpoint(
+    back = closed(
         ends,
         lambda new, n: new.join(e, F.col("node") == F.col("__d")).join(at, (F.col("__s") == F.col("__n")) & (F.col("__l") == F.col("level") - 1)).select("sink", F.col("__s").alias("node"), F.col("__l").alias("level")),
         None, max_depth,
@@ -181,6 +181,6 @@ def shortest_trace(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_d
 def confirmed(provisional: DataFrame, edges: DataFrame, ends: DataFrame, cleaned: DataFrame) -> DataFrame:
     """provisional(finding, node) with `state`: CONFIRMED if some path over edges(src, dst) reaches ends(node) without cleaned(node)."""
     e = edges.join(cleaned.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
-    rows, _ = fixpoint(provisional.select("finding", "node"), lambda new, n: new.join(e, F.col("node") == F.col("__s")).select("finding", F.col("__d").alias("node")))
+    rows = closed(provisional.select("finding", "node"), lambda new, n: new.join(e, F.col("node") == F.col("__s")).select("finding", F.col("__d").alias("node")))
     ok = rows.join(ends.select("node").distinct(), "node", "left_semi").select("finding").distinct().withColumn("__ok", F.lit(True))
     return provisional.select("finding").distinct().join(ok, "finding", "left").select("finding", F.when(F.col("__ok"), "CONFIRMED").otherwise("UNCONFIRMED").alias("state"))

@@ -52,7 +52,7 @@ def fixpoint(
     seed: DataFrame,
     step: Callable[..., DataFrame],
     keys: list[str] | None = None,
-    max_rounds: int = 100,
+    max_rounds: int | None = None,
     deadline_s: float | None = None,
 ) -> tuple[DataFrame, bool]:
     """Least set that holds `seed` and is closed under `step`: (rows, whether the fixpoint was reached).
@@ -63,7 +63,8 @@ def fixpoint(
     Semi-naive: step sees only rows that are new since the last round; its result is made distinct and reduced by an anti
     join on `keys` (all columns by default) with everything known. Each round writes its new rows once; known rows are the
     union of those files, so no round recomputes another. Columns that are no keys are kept from the first round that found
-    the key (of one round, the smallest). A round or time limit returns what was found until then, and False.
+    the key (of one round, the smallest). Without a limit it runs until nothing is new. A round or time limit returns what was
+    found until then, and False.
     """
     cols = seed.columns
     keys = keys or cols
@@ -76,7 +77,9 @@ def fixpoint(
     whole = len(inspect.signature(step).parameters) == 3
     began = time.monotonic()
     new = known = saved(one(seed), "seed")
-    for n in range(1, max_rounds + 1):
+    n = 0
+    while max_rounds is None or n < max_rounds:
+        n += 1
         if not new.limit(1).count():
             return known, True
         if deadline_s is not None and time.monotonic() - began > deadline_s:
@@ -87,3 +90,15 @@ def fixpoint(
         new = saved(found.join(old, same, "left_anti"), "delta")
         known = known.unionAll(new)
     return known, not new.limit(1).count()
+
+
+class LimitReached(RuntimeError):
+    """A fixpoint met its limit while rows were still new."""
+
+
+def closed(seed: DataFrame, step: Callable[..., DataFrame], keys: list[str] | None = None, max_rounds: int | None = None) -> DataFrame:
+    """The rows of fixpoint(), which must be reached: at a round limit it raises rather than give a part of them."""
+    rows, reached = fixpoint(seed, step, keys, max_rounds)
+    if not reached:
+        raise LimitReached(f"no fixpoint after {max_rounds} rounds")
+    return rows
