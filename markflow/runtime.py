@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a materialised small side up to which it is broadcast; beyond it joins shuffle and AQE handles skew.
 BROADCAST_ROWS = 200_000
+#: Files of a saved table for each core: more would not run at the same time, and each costs its own calls to the store.
+FILES = 6
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -39,7 +41,7 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/markflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
