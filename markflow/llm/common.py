@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows of a small side up to which it is broadcast (a row is at most some 100 bytes here); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of a small side with binary columns up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,12 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def light(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a materialised table of at most `most` bytes (size: those of a row, to which 64 are added); else as sized()."""
+    total = df.agg(F.sum(size.cast("long") + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,69 +1,84 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 `suffix_array` classifies suffixes as S or L, sorts the leftmost-smaller (LMS) substrings by induction, names them, solves
-the reduced string recursively and induces the whole array from it. At the top level, where symbols are bytes, an
-induction step takes a whole bucket at a time in vectors: the suffixes that a bucket gives to itself come in waves, all
-others go to their buckets in one stable scatter. Reduced strings have large alphabets and small buckets, so there the
-plain loops run.
+the reduced string the same way and induces the whole array from it. An induction pass reads the places of its list in
+order; all that stands before the first bucket which still waits for suffixes is final, so it is read in one vector step (a
+wave), and what it induces goes to the ends of its buckets in one stable scatter. Each suffix is read and placed once,
+whatever the alphabet; a random string of n symbols takes some sqrt(n) waves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Buckets looked at together for the first one that waits.
+_LOOK = 1024
 
-def _scatter(sa: np.ndarray, at: np.ndarray, who: np.ndarray, sym: np.ndarray, step: int) -> None:
-    """Appends `who`, in order, to the buckets of their symbols; at: the next free place of each bucket, going by step."""
-    order = np.argsort(sym, kind="stable")
-    s = sym[order]
-    first = np.r_[0, np.nonzero(s[1:] != s[:-1])[0] + 1]
-    size = np.diff(np.r_[first, len(s)])
-    rank = np.arange(len(s)) - np.repeat(first, size)
-    sa[at[s] + step * rank] = who[order]
-    at[s[first]] += step * size
-
-
-def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The suffix array induced from LMS suffixes in the given order (by bytes)."""
-    n, sigma = len(t), len(bounds) - 1
-    head, tail = bounds[:-1].copy(), bounds[1:] - 1
-    sym = t[lms]
-    order = np.argsort(sym, kind="stable")
-    seeds = lms[order]
-    cut = np.searchsorted(sym[order], np.arange(sigma + 1))
-    sa = np.full(n, -1, np.int64)
-
-    def left(who: np.ndarray) -> np.ndarray:
-        p = who[who > 0] - 1
-        return p
-
-    for c in range(sigma):
-        done = bounds[c]
-        while done < head[c]:  # a wave: what the bucket has got since the last one
-            now, done = sa[done : head[c]], head[c]
-            p = left(now)
-            p = p[~is_s[p]]
-            if len(p):
-                _scatter(sa, head, p, t[p], 1)
-        if cut[c] < cut[c + 1]:
-            p = left(seeds[cut[c] : cut[c + 1]])
-            p = p[~is_s[p]]
-            if len(p):
-                _scatter(sa, head, p, t[p], 1)
-    for c in range(sigma - 1, -1, -1):
-        done = bounds[c + 1] - 1
-        while done > tail[c]:
-            now, done = sa[tail[c] + 1 : done + 1][::-1], tail[c]
-            p = left(now)
-            p = p[is_s[p]]
-            if len(p):
-                _scatter(sa, tail, p, t[p], -1)
-        if bounds[c] < head[c]:  # the L suffixes of the bucket, from its end
-            p = left(sa[bounds[c] : head[c]][::-1])
-            p = p[is_s[p]]
-            if len(p):
-                _scatter(sa, tail, p, t[p], -1)
+
+def _pass(t: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """One induction pass: `seeds` in order, and the suffixes marked in `wanted`, which stand before the seeds of their bucket.
+
+    t is the string with symbols as the pass meets them (reversed for the S pass). A suffix that is read puts the one
+    before it, if wanted, at the next free place of its bucket.
+    """
+    need = np.bincount(t[wanted], minlength=sigma)
+    order = np.argsort(t[seeds], kind="stable")
+    sym = t[seeds[order]]
+    have = np.bincount(sym, minlength=sigma)
+    begin = np.cumsum(need + have) - need - have
+    goal = begin + need
+    every = np.arange(max(len(wanted), len(seeds)))
+    out = np.empty(len(seeds) + int(need.sum()), np.int64)
+    out[(goal - np.cumsum(have) + have)[sym] + every[: len(sym)]] = seeds[order]
+    free, at, c, end = begin, 0, 0, len(out)
+    while at < end:
+        to = end
+        while c < sigma:  # the first bucket that waits
+            waits = free[c : c + _LOOK] < goal[c : c + _LOOK]
+            i = int(waits.argmax())
+            if waits[i]:
+                c += i
+                to = int(free[c])
+                break
+            c += _LOOK
+        p = out[at:to] - 1
+        at = to
+        p = p[wanted[p]]  # before the first symbol stands the last one, which is never wanted
+        n = len(p)
+        if n > 1:
+            sym = t[p]
+            order = sym.argsort(kind="stable")
+            sym = sym[order]
+            first = np.empty(n, bool)
+            first[0] = True
+            np.not_equal(sym[1:], sym[:-1], out=first[1:])
+            first = first.nonzero()[0]
+            size = np.empty_like(first)
+            np.subtract(first[1:], first[:-1], out=size[:-1])
+            size[-1] = n - first[-1]
+            sym = sym[first]
+            out[every[:n] + (free[sym] - first).repeat(size)] = p[order]
+            free[sym] += size
+        elif n:
+            sym = t[p[0]]
+            out[free[sym]] = p[0]
+            free[sym] += 1
+    return out
+
+
+def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array induced from LMS suffixes in the given order (by symbols)."""
+    n = len(t)
+    is_l = ~is_s
+    low = _pass(t, is_l, lms, sigma)
+    low = low[is_l[low]]
+    rest = is_s.copy()
+    rest[-1] = False  # the last suffix precedes none; it is the least
+    turned = np.subtract(sigma - 1, t, dtype=t.dtype)
+    high = _pass(turned, rest, low[::-1], sigma)
+    sa = np.empty(n, np.int64)
     sa[0] = n - 1
+    sa[1:] = high[::-1]
     return sa
 
 
@@ -99,57 +114,6 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(name[-1]) + 1 if len(name) else 0
 
 
-def _plain(t: list[int], sigma: int) -> list[int]:
-    """Induced sorting in plain loops, for reduced strings; the last symbol is 0 and stands alone."""
-    n = len(t)
-    if n == 1:
-        return [0]
-    s = bytearray(n)
-    s[-1] = 1
-    for i in range(n - 2, -1, -1):
-        s[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and s[i + 1])
-    size = [0] * (sigma + 1)
-    for c in t:
-        size[c + 1] += 1
-    for c in range(sigma):
-        size[c + 1] += size[c]
-    lms = [i for i in range(1, n) if s[i] and not s[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, size[1:]
-        for i in reversed(order):
-            tail[t[i]] -= 1
-            sa[tail[t[i]]] = i
-        head = size[:-1]
-        for k in range(n):
-            j = sa[k] - 1
-            if j >= 0 and not s[j]:
-                sa[head[t[j]]] = j
-                head[t[j]] += 1
-        tail = size[1:]
-        for k in range(n - 1, -1, -1):
-            j = sa[k] - 1
-            if j >= 0 and s[j]:
-                tail[t[j]] -= 1
-                sa[tail[t[j]]] = j
-        return sa
-
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    order = [i for i in induce(lms) if is_lms[i]]
-    end = dict(zip(lms, [*lms[1:], lms[-1]]))
-    name, last, named = -1, None, {}
-    for i in order:
-        piece = t[i : end[i] + 1]
-        if piece != last:
-            name, last = name + 1, piece
-        named[i] = name
-    if name + 1 < len(lms):
-        order = [lms[k] for k in _plain([named[i] for i in lms], name + 1)]
-    return induce(order)
-
-
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     """Suffix array of t (symbols below sigma), whose last symbol is 0 and stands nowhere else."""
     t = np.asarray(t, np.uint16 if sigma <= 1 << 16 else np.int64)  # stable sorts of 16-bit symbols are radix sorts
@@ -157,41 +121,44 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     is_s = _types(t)
-    lms = np.nonzero(is_s[1:] & ~is_s[:-1])[0] + 1
-    bounds = np.r_[0, np.cumsum(np.bincount(t, minlength=sigma))]
-    sa = _induce(t, is_s, lms, bounds)
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    sa = _induce(t, is_s, lms, sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     name, names = _names(t, lms, order)
     if names < len(lms):
-        order = lms[np.array(_plain(name.tolist(), names), np.int64)]
-    return _induce(t, is_s, order, bounds)
+        order = lms[suffix_array(name, names)]
+    return _induce(t, is_s, order, sigma)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, texts: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: for each position, how much its suffix shares with the one before it in sa, up to `most`.
+    """Permuted common prefixes: for each position of t (bytes), how much its suffix shares with the one before it in sa, up to `most`.
 
     texts: where the texts that make up t start (the first 0). Going from one position to the next of a text, at most one
-    symbol of the common prefix is lost; all texts take that step together.
+    symbol of the common prefix is lost; all texts take that step together, and compare eight bytes at a time.
     """
     n = len(t)
+    room = np.zeros(n + most + 16, np.uint8)
+    room[:n] = t
+    words = np.ndarray((n + most + 8,), "<u8", room.data, 0, (1,))
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
     out = np.zeros(n, np.int32)
     at, run = texts.astype(np.int64), np.zeros(len(texts), np.int64)
-    end = np.r_[texts[1:], n]
+    end = np.append(texts[1:], n)
     while len(at):
         other = before[at]
         run = np.where(other < 0, 0, np.maximum(run - 1, 0))
-        live = np.nonzero(other >= 0)[0]
+        live = np.flatnonzero((other >= 0) & (run < most))
         while len(live):
-            a, b = at[live] + run[live], other[live] + run[live]
-            more = (run[live] < most) & (a < n) & (b < n)
-            live, a, b = live[more], a[more], b[more]
-            live = live[t[a] == t[b]]
-            run[live] += 1
+            so_far = run[live]
+            differ = words[at[live] + so_far] ^ words[other[live] + so_far]
+            same = np.bitwise_count((differ & -differ) - np.uint64(1)) >> np.uint8(3)  # equal low bytes; 8 if all are
+            run[live] = so_far + same
+            live = live[(same == 8) & (so_far + 8 < most)]
+        run = np.minimum(run, np.minimum(most, n - np.maximum(at, other)))
         out[at] = run
         at = at + 1
         go = at < end

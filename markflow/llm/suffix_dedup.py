@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, release, saved, sized, starts, text_of, trim, unpacked
+from .common import light, packed, release, saved, sized, starts, text_of, trim, unpacked
 from .exact_dedup import marked
 from .suffix_array import common_prefixes, suffix_array
 
@@ -42,8 +42,6 @@ BLOCK_BYTES = 4 << 20
 #: Anchors to a bucket, and bytes of contexts to a shard.
 BUCKET = 600_000
 SHARD_BYTES = 1 << 20
-#: Rows with packed spans up to which they are broadcast.
-SPAN_ROWS = 200_000
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -288,14 +286,11 @@ def _shard(t: pa.Table) -> pa.Table:
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
     if not keep:
         return empty
-    size = np.array([len(bodies[i]) for i in keep], np.int64)
-    begins = np.r_[0, np.cumsum(size + 1)[:-1]]
-    # Bytes move up by two: 1 ends a context, 0 ends the whole.
-    raw = np.ones(int(begins[-1] + size[-1]) + 2, np.int64)
-    for b, i in zip(begins.tolist(), keep):
-        raw[b : b + len(bodies[i])] = np.frombuffer(bodies[i], np.uint8).astype(np.int64) + 2
-    raw[-1] = 0
-    sa = suffix_array(raw, 258)
+    size = np.fromiter(map(len, (bodies[i] for i in keep)), np.int64, len(keep))
+    begins = np.cumsum(size + 1) - size - 1
+    # UTF-8 has no FE and no FF: moved up by two, 1 ends a context and 0 ends the whole.
+    raw = np.frombuffer(b"\xff".join(bodies[i] for i in keep) + b"\xff\xfe", np.uint8) + np.uint8(2)
+    sa = suffix_array(raw, 256)
     shared = common_prefixes(raw, sa, begins, LENGTH)
     text = np.searchsorted(begins, sa, "right") - 1
     inside = sa + LENGTH <= (begins + size)[text]
@@ -317,9 +312,13 @@ def _shard(t: pa.Table) -> pa.Table:
     order = np.lexsort((s, tie, d))
     d, tie, s, e = d[order], tie[order], s[order], e[order]
     cut = starts(d, tie)
-    rows = [(int(d[a]), int(tie[a]), packed(_merged(s[a:z], e[a:z]))) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(d)])]
-    cols = list(zip(*rows))
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "tie", "spans"])
+    # Runs of all documents at once: each document's offsets stand apart from the others'.
+    apart = np.repeat(np.arange(len(cut)), np.diff(cut, append=len(d))) * (1 << 40)
+    runs = _merged(s + apart, e + apart)
+    of, runs = runs[0] >> 40, runs & ((1 << 40) - 1)
+    ends = np.searchsorted(of, np.arange(len(cut)), "right").tolist()
+    rows = [packed(runs[:, a:z]) for a, z in zip([0, *ends], ends)]
+    return pa.table([pa.array(d[cut]), pa.array(tie[cut]), pa.array(rows, pa.binary())], names=["doc_id", "tie", "spans"])
 
 
 def cut(text: str, spans: list[bytes]) -> tuple[bytes, int]:
@@ -359,7 +358,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     asked = marks.where("n_firsts > 0")
     n = asked.agg(F.sum("n_firsts")).first()[0] or 0
     shards = max(12, math.ceil(2 * n * (2 * LENGTH - SEED - HALF) / SHARD_BYTES))
-    met = texts.join(sized(asked.select("doc_id", "tie", "firsts"), SPAN_ROWS), ["doc_id", "tie"]).select("doc_id", "tie", "text", "firsts")
+    met = texts.join(light(asked.select("doc_id", "tie", "firsts"), F.octet_length("firsts")), ["doc_id", "tie"]).select("doc_id", "tie", "text", "firsts")
     more = saved(_contexts(met, shards).groupBy("shard").applyInArrow(_shard, "doc_id long, tie long, spans binary"), "sorted")
     release(spark)
     both = marks.select("doc_id", "tie", "spans").unionAll(more)
@@ -370,7 +369,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
 def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left)."""
     texts, copies, gone = spans(docs, text, doc_id)
-    met = texts.join(sized(gone, SPAN_ROWS), ["doc_id", "tie"], "left").select("doc_id", "text", "spans")
+    met = texts.join(light(gone, F.expr("aggregate(spans, 0L, (n, x) -> n + octet_length(x))")), ["doc_id", "tie"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
