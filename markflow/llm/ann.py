@@ -14,7 +14,7 @@ merged by a sum-like aggregate.
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, as query or as candidate. Ties go to the smaller id. Rows that repeat an id count once each as candidates; none of
 them is a candidate of a query with that id; a repeated query id is answered once. Fewer than k candidates: all of them.
-An empty table gives an empty result.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -104,10 +104,58 @@ def starts(*cols):
     return np.nonzero(new)[0]
 
 
+_TABLE_SEED = 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(h):
+    """Spreads 64-bit hashes over all bits."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xCA4BCAA75EC3F625)
+    return h ^ (h >> np.uint64(31))
+
+
+class Rolling:
+    """64-bit hashes of any substrings of a buffer of bytes, each in constant time."""
+
+    def __init__(self, buf):
+        import numpy as np
+
+        n, base = len(buf), np.uint64(_BASE)
+        table = np.random.default_rng(_TABLE_SEED).integers(0, 2**64, 256, np.uint64)
+        power = np.full(n + 1, base, np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[buf] * power[:n], out=self.sums[1:], dtype=np.uint64)
+        self.undo = np.full(n + 1, np.uint64(pow(_BASE, -1, 2**64)), np.uint64)
+        self.undo[0] = 1
+        np.cumprod(self.undo, out=self.undo)
+
+    def of(self, at, end):
+        return mixed((self.sums[end] - self.sums[at]) * self.undo[at])
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def set_aside(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
     """docs with columns named like an operator's own renamed, and the selection that gives them their names back."""
-    clash = {c: f"__was_{c}" for c in docs.columns if c in own}
-    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+    low = {c.lower() for c in own}
+    clash = [c for c in docs.columns if c.lower() in low]
+    away = dict(zip(clash, unused(docs, *[f"__was_{c}" for c in clash])))
+    return docs.withColumnsRenamed(away), [F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns]
 
 
 def trim() -> None:

@@ -7,8 +7,8 @@ pass straight through without a shuffle; the others are grouped by their SHA-256
 
 Defined cases: a null text equals an empty one. Of equal texts the largest id stays (a null id is smaller than any).
 Rows that repeat both id and text all carry kept = true in `dedup_table`; `exact_dedup` returns one of them. An empty
-table gives an empty result. Other columns pass through untouched; the operator's own columns replace columns of the
-same name.
+table gives an empty result. Other columns pass through untouched, whatever their names; only in `dedup_table` do its four
+result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from .common import pow2_bits, saved, set_aside, sized, text_of
 BITS_PER_ROW = 32
 #: Words of the filter up to which it is broadcast (about 64 bytes each in the hash table); beyond it the lookup shuffles.
 FILTER_WORDS = 500_000
-_OWN = ("__sha", "__word", "__bit", "__mask", "__maybe")
+_OWN = ["__sha", "__word", "__bit", "__mask", "__maybe"]
+_RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def repeat_filter(texts: DataFrame, text: Column) -> tuple[DataFrame, int]:
@@ -37,23 +38,22 @@ def repeat_filter(texts: DataFrame, text: Column) -> tuple[DataFrame, int]:
 
 
 def marked(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __sha and __maybe (its position was hit twice)."""
+    """docs, which has no column of _OWN, with __sha and __maybe (its position was hit twice)."""
     body = text_of(text)
     words, bits = repeat_filter(docs, body)
     words = sized(saved(words, "repeats"), FILTER_WORDS)
     pos = F.xxhash64(body).bitwiseAND(F.lit((1 << bits) - 1))
     return (
-        docs.drop(*_OWN)
-        .withColumns({"__sha": F.sha2(body, 256), "__word": F.shiftright(pos, 6), "__bit": pos.bitwiseAND(F.lit(63)).cast("int")})
+        docs.withColumns({"__sha": F.sha2(body, 256), "__word": F.shiftright(pos, 6), "__bit": pos.bitwiseAND(F.lit(63)).cast("int")})
         .join(words, "__word", "left")
         .withColumn("__maybe", F.expr("coalesce(shiftright(__mask, __bit) & 1L, 0L) = 1L"))
         .drop("__word", "__bit", "__mask")
     )
 
 
-def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of docs plus keep_id, group_size, kept, text_sha256; one row per row of docs."""
-    rows = marked(docs.drop("keep_id", "group_size", "kept", "text_sha256"), text)
+def _table(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs, which has no column of _OWN or _RESULT, with those of _RESULT."""
+    rows = marked(docs, text)
     alone = rows.where("not __maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long")})
     maybe = rows.where("__maybe")
     groups = saved(maybe.groupBy("__sha").agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -62,10 +62,16 @@ def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id"))).withColumnRenamed("__sha", "text_sha256").drop("__maybe")
 
 
+def dedup_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """All columns of docs plus keep_id, group_size, kept, text_sha256; one row per row of docs."""
+    docs, back = set_aside(docs.drop(*_RESULT), _OWN)
+    return _table(docs, text, doc_id).select(*back, *_RESULT)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs less all but one row of each group of equal texts."""
-    docs, back = set_aside(docs, ["keep_id", "group_size", "kept", "text_sha256"])
-    rows = dedup_table(docs, text, doc_id).where("kept")
+    docs, back = set_aside(docs, [*_OWN, *_RESULT])
+    rows = _table(docs, text, doc_id).where("kept")
     # Only where an id itself repeats are there two kept rows of one text.
     single = rows.where("group_size = 1")
     again = rows.where("group_size > 1").dropDuplicates([doc_id, "text_sha256"])

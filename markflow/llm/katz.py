@@ -20,7 +20,8 @@ Nothing of the size of the vocabulary is collected or broadcast:
     depends on v alone, so that each part is known where it is added.
 
 Defined cases: a null text is empty and has the one end token; a null id is trained on as the text ''. Repeated rows are
-rows of their own. Without training rows every token is unknown. An empty table gives an empty result.
+rows of their own. Without training rows every token is unknown. An empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations

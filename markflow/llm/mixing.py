@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, saved, sized, text_of
+from .common import GAP, WORD, saved, sized, text_of, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -63,8 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap.cast("double")).alias("target"))
 
 
-def mix_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, and key (the random order)."""
+def _placed(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
+    """doc_id, source, size, key, __before (words of the source before the row), source_size, target, __whole (epochs) and __rest (words of the last one)."""
     body = text_of(text)
     slim = saved(
         docs.select(
@@ -77,28 +77,46 @@ def mix_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     met = placed.join(sized(aim.withColumnRenamed("source", "s_source")), F.col("source").eqNullSafe(F.col("s_source")))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before")))
-    return met.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    return met.withColumn("__whole", whole).withColumn("__rest", budget - F.col("__whole") * F.col("source_size"))
+
+
+def mix_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and key (the random order)."""
+    taken = F.col("__whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before")))
+    return _placed(docs, text, doc_id, source).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """The mix itself: rows of docs repeated by epoch; the row on which a source's budget ends keeps only its words inside the budget.
 
-    Rows that nothing is taken of go. Row and decision meet on (id, key), the hash of id and text; c rows that repeat
-    both share what was taken of them evenly, which leaves c - 1 words out at most.
+    Rows that nothing is taken of go. No text moves: of each source, whole epochs and the row on which its budget ends
+    (key, id, words left) say what becomes of a row. Where that row repeats, its c copies share the words left evenly,
+    which leaves c - 1 words out at most. Other columns pass through, whatever their names.
     """
-    plan = mix_table(docs, text, doc_id, source).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
-        F.max("size").alias("__size"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__taken")
-    ).where("__taken > 0")
-    own = docs.withColumn("__own", F.xxhash64(F.col(doc_id), text_of(text)))
-    met = own.join(saved(plan, "plan"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    copies = F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)
-    rows = met.withColumn("__copy", F.explode(copies)).withColumn("__left", F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size")))
-    short = F.col("__left") < F.col("__size")
+    placed = saved(_placed(docs, text, doc_id, source), "placed")
+    last = placed.where("size > 0 and __before < __rest and __before + size >= __rest").select("source", "key", "doc_id")
+    row = ["source", "key", "doc_id"]
+    equal = last.select(*[F.col(c).alias(f"l_{c}") for c in row])
+    equal = placed.where("size > 0").join(sized(saved(equal, "last")), [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in row], "left_semi")
+    left = F.floor(F.least(F.max("__rest") - F.min("__before"), F.sum("size")) / F.count(F.lit(1)))
+    cuts = equal.groupBy("source").agg(F.first("key").alias("k"), F.first("doc_id").alias("i"), left.alias("left"), F.first("size").alias("size"))
+    whole = placed.groupBy("source").agg(F.max("__whole").alias("whole")).alias("w")
+    plan = saved(whole.join(cuts.alias("c"), F.col("w.source").eqNullSafe(F.col("c.source")), "left").select("w.source", "whole", "k", "i", "left", "size"), "plan")
+    names = unused(docs, "__plan", "__key", "__copy", "__n", "__text")
+    p, key, copy, n, new = names
+    plan = sized(plan).select(F.struct("source", "whole", "k", "i", "left", "size").alias(p))
+    rows = docs.withColumn(key, F.xxhash64(F.col(doc_id), text_of(text))).where(F.rlike(text_of(text), F.lit(r"[^\x20\x09-\x0D]")))
+    met = rows.join(plan, F.col(source).cast("string").eqNullSafe(F.col(f"{p}.source")))
+    # Before the last row in (key, id), nulls first, or on it, or after it.
+    ends = (F.col(key) == F.col(f"{p}.k")) & F.col(doc_id).eqNullSafe(F.col(f"{p}.i"))
+    before = (F.col(key) < F.col(f"{p}.k")) | (F.col(key) == F.col(f"{p}.k")) & (F.col(doc_id).isNull() & F.col(f"{p}.i").isNotNull() | (F.col(doc_id) < F.col(f"{p}.i")))
+    more = F.when(F.coalesce(before, F.lit(False)) | F.coalesce(ends, F.lit(False)) & (F.col(f"{p}.left") > 0), 1).otherwise(0)
+    met = met.withColumn(n, (F.col(f"{p}.whole") + more).cast("int")).where(F.col(n) > 0)
+    met = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    short = F.coalesce(ends, F.lit(False)) & (F.col(copy) > F.col(f"{p}.whole")) & (F.col(f"{p}.left") < F.col(f"{p}.size"))
     words = F.filter(F.split(text_of(text), GAP), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("__left").cast("int")), " ")
-    out = rows.withColumn("__text", F.when(short, cut).otherwise(F.col(text)))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(f"{p}.left").cast("int")), " ")
+    out = met.withColumn(new, F.when(short, cut).otherwise(F.col(text)))
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(short, F.length("__text").cast("long")).otherwise(F.col(n_chars)))
-    return out.withColumn(text, F.col("__text")).select(docs.columns)
+        out = out.withColumn(n_chars, F.when(short, F.length(new).cast("long")).otherwise(F.col(n_chars)))
+    return out.withColumn(text, F.col(new)).select(docs.columns)

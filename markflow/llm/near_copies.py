@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized
-from .simhash import components, digests, fingerprints, links, standing, standing_only
+from .common import Rolling, saved, sized
+from .simhash import components, fingerprints, links, standing, standing_only
 
 WORDS = 5
 SIMILARITY = 0.8
 CROWD = 256
+#: Sets of shingles that a task remembers.
+KEPT = 64
 LEADERS = 8
 #: One of so many texts is looked at for common shingles; from so many of them on a shingle is common; so many are told apart.
 SAMPLE, COMMON, TOLD = 16, 4, 200_000
@@ -36,8 +38,21 @@ SAMPLE, COMMON, TOLD = 16, 4, 200_000
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted set of a text's shingle hashes; never empty."""
-    parts = list(digests(text, WORDS))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+    flat = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not flat:
+        return np.zeros(1, np.uint64)
+    buf = np.frombuffer(flat, np.uint8)
+    gaps = np.flatnonzero(buf == 32)
+    at, end = np.append(0, gaps + 1), np.append(gaps, len(buf))
+    if len(at) < WORDS:
+        at, end = at[:1], end[-1:]
+    else:
+        at, end = at[: len(at) - WORDS + 1], end[WORDS - 1 :]
+    h = Rolling(buf).of(at, end)
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def prefix(sh: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -110,14 +125,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
     both = pairs.join(known.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(known.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sy = None, None
+        sets: dict[int, np.ndarray] = {}  # of texts met lately
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            got = sets.pop(node, None)
+            sets[node] = got = shingles(text.as_py()) if got is None else got
+            if len(sets) > KEPT:
+                del sets[next(iter(sets))]
+            return got
+
         for batch in batches:
             good = []
-            for x, y, node in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-                if sy is None or node != last:
-                    last, sy = node, shingles(y.as_py())
-                sx = shingles(x.as_py())
-                c = len(np.intersect1d(sx, sy, assume_unique=True))
+            for a, x, y, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+                sx, sy = of(a, x), of(b, y)
+                both = np.concatenate([sx, sy])
+                both.sort(kind="stable")  # two sorted runs are merged
+                c = int((both[1:] == both[:-1]).sum())
                 good.append(c >= similarity / (1 + similarity) * (len(sx) + len(sy)) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 

@@ -10,7 +10,8 @@ are its own plus the shift of its path's posterior from the global mean.
 Defined cases: a null or empty text has probability EMPTY; null hosts and paths are groups of their own. Labels that are
 null or belong to no text are left out; labels that repeat an id count once each. Without labels of both kinds the text
 evidence is 0 (probability one half) and nothing is rejected. Repeated rows get equal results. An empty table gives an
-empty result.
+empty result. Other columns pass through, whatever their names; in `classify` its five result columns replace columns of
+the same name.
 """
 
 from __future__ import annotations
@@ -83,36 +84,39 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Weights fitted on at most `sample` labelled rows; None without rows of both kinds."""
     own = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), (F.col(label) > 0).cast("int").alias("__good"))
     picked = own.orderBy(F.xxhash64("__id"), "__id", "__good").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    met = rows.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__text", "__good")
+    # Of rows that repeat an id, the text with the least hash: as many rows as labels, which `sample` bounds.
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("__doc"), body.alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    met = rows.groupBy("__id", "__good").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__least")).select("__least.__text", "__good")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    got = met.mapInArrow(run, "x array<double>, y int").limit(2 * sample).toArrow()
+    got = met.mapInArrow(run, "x array<double>, y int").toArrow()
     x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES), np.array(got.column("y").to_pylist(), float)
     order = np.lexsort(np.c_[x, y].T)  # the same sums whatever order rows came in
     return fit(x[order], y[order]) if 0 < y.sum() < len(y) else None
 
 
-def scored(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:
-    """docs with __p: the probability that the text alone gives."""
+def scored(docs: DataFrame, weights: np.ndarray | None, text: str = "text", p: str = "__p", without: str | None = None) -> DataFrame:
+    """docs with p: the probability that the text alone gives; less the column `without`."""
     names = docs.columns
     at = names.index(text)
+    kept = [i for i, c in enumerate(names) if c != without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.full(b.num_rows, 0.5)
-            texts = [t.as_py() or "" for t in b.column(at)]
+            got = np.full(b.num_rows, 0.5)
             if weights is not None:
-                for i, t in enumerate(texts):
-                    p[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(weights[:-1], features(t)) + weights[-1]))))) if t.split() else EMPTY
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, "__p"])
+                for i, t in enumerate(b.column(at)):
+                    t = t.as_py() or ""
+                    got[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(weights[:-1], features(t)) + weights[-1]))))) if t.split() else EMPTY
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(got)], names=[*[names[i] for i in kept], p])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, __p double")
+    kinds = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept)
+    return docs.mapInArrow(run, f"{kinds}, `{p}` double")
 
 
 def _strength(groups: DataFrame, of: float) -> float:
@@ -146,21 +150,24 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, weights: np.ndarray | None = None) -> DataFrame:
-    """docs with p_text, host_posterior, path_posterior, score (posterior probability of good quality) and keep."""
-    own = OWN
-    docs = docs.drop(*own)
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, weights: np.ndarray | None = None, with_text: bool = True) -> DataFrame:
+    """docs (less its text, unless with_text) with p_text, host_posterior, path_posterior, score (posterior probability of good quality) and keep.
+
+    Every text is read once for its score; the scored rows are written, and sums over them and the result read that table.
+    """
     if weights is None:
         weights = train(docs, labels, text, doc_id)
-    slim = scored(docs.select(F.col(text).cast("string").alias("t"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")), weights, "t")
-    sites, mean = posteriors(slim.select("host", "path", F.col("__p").alias("p")))
+    docs, back = set_aside(docs.drop(*OWN), ["__p", "__host", "__path"])
+    rows = saved(scored(docs, weights, text, without=None if with_text else text), "scored")
+    sites, mean = posteriors(rows.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("__p").alias("p")))
     sites = sized(saved(sites.withColumnsRenamed({"host": "__host", "path": "__path"}), "posteriors"))
-    rows = scored(docs, weights, text)
     met = rows.join(sites, F.col(host).cast("string").eqNullSafe(F.col("__host")) & F.col(path).cast("string").eqNullSafe(F.col("__path")), "left")
     shift = F.least(F.greatest(_logit(F.col("path_posterior")) - _logit(F.lit(float(mean))), F.lit(-SHIFT)), F.lit(SHIFT))
     score = 1 / (1 + F.exp(-(_logit(F.col("__p")) + shift)))
     keep = F.col("score") >= threshold if weights is not None else F.lit(True)
-    return met.withColumn("score", score).withColumn("keep", keep).withColumnRenamed("__p", "p_text").select(*docs.columns, *own)
+    if not with_text:
+        back = [c for c, name in zip(back, docs.columns) if name != text]
+    return met.withColumn("score", score).withColumn("keep", keep).withColumnRenamed("__p", "p_text").select(*back, *OWN)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

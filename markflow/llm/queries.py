@@ -91,7 +91,7 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.r = 1
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
     return rows.select("doc_id", "p_text", "host_posterior", "path_posterior", "score", "keep")
 
 

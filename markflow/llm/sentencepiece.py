@@ -8,10 +8,12 @@ back into text; for texts without the white-space symbol itself, and with byte p
 Where the model has no piece that holds the white-space symbol after another character, no best path crosses into such a
 boundary, so a text is cut there and the best paths of its (mostly repeated) parts are remembered, CACHE of them at most.
 
-The scores of a merge model are its ranks (later merges are lower), and the path is the one of the best total score.
+The scores of a merge model are its ranks (later merges are lower), and the path is the one of the best total score: it
+often has more pieces than the model's own merges would give.
 
 Defined cases: a null text gives null ids; an empty one none. Ties go to the longest last piece. Repeated rows get equal
-results. Whole texts are read, however long. An empty table gives an empty result.
+results. Whole texts are read, however long. An empty table gives an empty result. Other columns pass through; columns
+named like `ids` and round_trip are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN = 10.0
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Pieces:

@@ -14,7 +14,7 @@ cut into blocks whose pairs go to different tasks. Components come from alternat
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other. Rows with a null id take no part in
 choosing the component id unless all have one. Repeated rows get equal results. Whole texts are read, however long. An
-empty table gives an empty result.
+empty table gives an empty result. Other columns are not read; `near_dedup` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, shuffle_partitions, sized
+from .common import release, saved, shuffle_partitions, sized, unused
 
 WORDS = 4
 SEED = 42
@@ -60,10 +60,13 @@ def digests(text: str | None, words: int = WORDS, seed: int = SEED) -> Iterator[
 
 def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """Fingerprint of one text over shingles of `words`, repeats included."""
-    total, n = np.zeros(64, np.int64), 0
+    counts, n = np.zeros(2048, np.int64), 0  # of each byte value at each place
+    place = np.arange(0, 2048, 256, dtype=np.int16)
     for h in digests(text, words, seed):
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048)
         n += len(h)
+    bit = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+    total = (counts.reshape(8, 256) @ bit).ravel()
     bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
@@ -210,17 +213,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def least(e: DataFrame) -> DataFrame:
-        return saved(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        return e.groupBy("u").agg(F.min("v").alias("m"))
 
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("m", "u").alias("m"))
-        large = both.join(sized(m), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = saved(large, "large")
-        m = least(large)
-        small = large.join(sized(m), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(least(large), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = saved(small.where("u <> v").distinct(), "small")
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
@@ -234,9 +236,8 @@ def standing(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> Data
     roots = components(links(unique))
     release(prints.sparkSession)
     known = saved(unique.join(sized(roots), unique["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    firsts = saved(known.groupBy("root").agg(F.min("first").alias("first")), "firsts")
-    named = saved(known.drop("first").join(sized(firsts), "root").select("fp", "first"), "named")
-    return prints.join(sized(named), "fp")
+    firsts = known.groupBy("root").agg(F.min("first").alias("first"))
+    return prints.join(known.drop("first").join(firsts, "root").select("fp", "first"), "fp")
 
 
 def _labelled(docs: DataFrame, text: str, doc_id: str, distance: int) -> DataFrame:
@@ -261,12 +262,14 @@ def standing_only(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> D
     """
     rows = saved(rows, "labels")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
-    gone = saved(rows.where(~stays).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "gone")
-    again = saved(rows.where(stays).groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")), "again")
-    own = docs.withColumn("__own", F.xxhash64(F.col(text).cast("string")))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
-    kept = own.join(sized(gone), same, "left_anti")
+    own, i, tie = unused(docs, "__own", "__id", "__tie")
+    key = [F.col("doc_id").alias(i), F.col("tie").alias(tie)]
+    gone = saved(rows.where(~stays).select(key).distinct(), "gone")
+    again = rows.where(stays).groupBy("doc_id", "tie").count().where("count > 1").select(key)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(tie))
+    kept = docs.withColumn(own, F.xxhash64(F.col(text).cast("string"))).join(sized(gone), same, "left_anti")
     if again.limit(1).count():
-        twice = kept.join(sized(again), same, "left_semi").dropDuplicates([doc_id, "__own"])
-        kept = kept.join(sized(again), same, "left_anti").unionByName(twice)
+        again = sized(saved(again, "again"))
+        twice = kept.join(again, same, "left_semi").dropDuplicates([doc_id, own])
+        kept = kept.join(again, same, "left_anti").unionByName(twice)
     return kept.select(docs.columns)

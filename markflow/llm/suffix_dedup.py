@@ -16,7 +16,9 @@ bytes, so the arrays are built over what can repeat, in shards that are exact on
 
 Defined cases: a null text is empty; texts under LENGTH bytes stay whole. A null id comes first. Rows that repeat id and
 text count as one document and get equal results; rows that repeat an id with another text are ordered by a hash of the
-text. An empty table gives an empty result.
+text. An empty table gives an empty result. Other columns are not read. Contexts are told apart by two 64-bit hashes (of the
+anchor and of the context), not by their bytes: among n contexts two unlike ones are taken for equal with a probability of
+about n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light, packed, release, saved, sized, starts, text_of, trim, unpacked
+from .common import Rolling, light, mixed, packed, release, saved, sized, starts, text_of, trim, unpacked
 from .exact_dedup import marked
 from .suffix_array import common_prefixes, suffix_array
 
@@ -42,34 +44,11 @@ BLOCK_BYTES = 4 << 20
 #: Anchors to a bucket, and bytes of contexts to a shard.
 BUCKET = 600_000
 SHARD_BYTES = 1 << 20
-_TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LEAST = -(2**63)
 TEXTS, SPANS, FIRSTS = range(3)
 _PACK = "kind byte, k long, p0 binary, p1 binary, p2 binary, p3 binary"
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xCA4BCAA75EC3F625)
-    return h ^ (h >> np.uint64(31))
-
-
-class Rolling:
-    """Hashes of any substrings of a buffer, each in constant time."""
-
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * power[:n], out=self.sums[1:], dtype=np.uint64)
-        self.undo = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE, np.uint64)], dtype=np.uint64)
-
-    def of(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[at]) * self.undo[at])
-
-
 def anchors(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, roll: Rolling) -> np.ndarray:
     """Sorted positions of the anchors of all windows inside the documents [begins, ends)."""
     n = len(buf)
@@ -142,7 +121,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
             left, right = np.maximum(begins[doc], at - SIDE), np.minimum(ends[doc], at + LENGTH)
             seed = roll.of(at, at + SEED)
             shape = ((at - left) << 8 | (right - at)).astype(np.uint64)
-            context = _mixed(roll.of(left, right) ^ (shape * _BASE))
+            context = mixed(roll.of(left, right) ^ (shape * np.uint64(0x9E3779B97F4A7C15)))
             del roll
             rank = np.empty(len(ids), np.int64)
             rank[np.lexsort((ties, ids))] = np.arange(len(ids))
@@ -259,7 +238,7 @@ def _contexts(met: DataFrame, shards: int) -> DataFrame:
                 keys, begin = np.concatenate(keys), np.concatenate(begin)
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((_mixed(keys) % np.uint64(shards)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array([i] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(begin), pa.array(bodies, pa.binary())],
+                    [pa.array((mixed(keys) % np.uint64(shards)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array([i] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(begin), pa.array(bodies, pa.binary())],
                     names=["shard", "key", "doc_id", "tie", "at", "body"],
                 )
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized
+from .common import saved, set_aside, sized
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -37,13 +37,14 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def as_of(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """captures with host, blocked, entry (the one that blocks it) and since (when it was listed)."""
-    captures = captures.drop("host", "blocked", "entry", "since").withColumn("host", host_of(F.col(url)))
-    asked = captures.where((F.col("host") != "") & F.col(at).isNotNull()).select(F.col("host").alias("h"), F.col(at).alias("t")).distinct()
-    labels = F.split("h", r"\.")
+    captures, back = set_aside(captures.drop("host", "blocked", "entry", "since"), ["__h", "__t"])
+    captures = captures.withColumn("host", host_of(F.col(url)))
+    asked = captures.where((F.col("host") != "") & F.col(at).isNotNull()).select(F.col("host").alias("__h"), F.col(at).alias("__t")).distinct()
+    labels = F.split("__h", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    names = asked.select("h", "t", F.explode(parents).alias("name"))
+    names = asked.select("__h", "__t", F.explode(parents).alias("name"))
     valid = sized(saved(intervals(events), "intervals"))
-    active = names.join(valid, (F.col("name") == F.col("entry")) & (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
-    verdicts = active.groupBy("h", "t").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "since")).alias("v")).select("h", "t", F.col("v.entry").alias("entry"), F.col("v.since").alias("since"))
-    met = captures.join(sized(saved(verdicts, "verdicts")), (F.col("host") == F.col("h")) & (F.col(at) == F.col("t")), "left").drop("h", "t")
-    return met.withColumn("blocked", F.col("entry").isNotNull())
+    active = names.join(valid, (F.col("name") == F.col("entry")) & (F.col("__t") >= F.col("since")) & (F.col("until").isNull() | (F.col("__t") < F.col("until"))))
+    verdicts = active.groupBy("__h", "__t").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "since")).alias("v")).select("__h", "__t", F.col("v.entry").alias("entry"), F.col("v.since").alias("since"))
+    met = captures.join(sized(saved(verdicts, "verdicts")), (F.col("host") == F.col("__h")) & (F.col(at) == F.col("__t")), "left")
+    return met.select(*back, "host", F.col("entry").isNotNull().alias("blocked"), "entry", "since")

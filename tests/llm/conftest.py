@@ -1,4 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
+
+#: Columns named like those that operators use inside or return; each holds its own name and the row's score.
+CLASH = ["h", "t", "ids", "round_trip", "__p", "__host", "__own", "__id", "__sha", "__maybe", "__taken", "__text", "__copy", "keep", "entry", "__was_kept"]
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +16,8 @@ def edge_docs(spark):
         (6, long + " end", "en", "b", len(long) + 4, 2, "z"), (7, "\t\n  ", "de", "c", 4, 3, None), (8, "Größe ▁ Ünïcode 日本 🙂", "de", "c", 20, 3, None),
         (None, "another one without an id", "en", "b", 25, 0, None),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long, kept string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long, kept string")
+    return docs.withColumns({c: F.concat_ws(" ", F.lit(c), "score") for c in CLASH})
 
 
 @pytest.fixture(scope="session")
