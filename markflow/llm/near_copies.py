@@ -3,8 +3,11 @@
 SimHash's files (simhash.links) find the closest pairs, in crowds too, but no distance of 64 bits holds a similarity of 0.8:
 pairs at 0.8 differ in about 10 bits, some in 20. So candidates also come from a prefix filter, which loses none: with
 all sets sorted by one order, two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each. The order
-puts shingles that are common in a sample of the texts last; the sample bears on cost alone, not on results. Every
-candidate is confirmed by the exact Jaccard similarity of the two sets of 64-bit shingle hashes.
+puts shingles that are common in a sample of the texts last; the sample bears on cost alone, not on results. A candidate
+must pass a bound on the sets' difference: each set has a row of bits, as many as shingles or up to twice that, and each
+shingle turns one of them over; what two sets share cancels out, so they differ in at least as many shingles as their rows
+of bits differ in places. Every candidate left is confirmed by the exact Jaccard similarity of the two sets of 64-bit
+shingle hashes. Texts move for those alone.
 
 A file (the texts with one shingle in their prefix) of up to CROWD members gives all its pairs. The members of a larger one
 meet LEADERS of them first; after that, and SimHash's links, only members that are not yet connected are paired.
@@ -65,6 +68,21 @@ def prefix(sh: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: f
     return sh[np.lexsort((sh, count))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+def parity(sh: np.ndarray) -> np.ndarray:
+    """The row of bits that a set of shingles turns over, packed; 64 at least, a power of two."""
+    m = max(64, 1 << (len(sh) - 1).bit_length())
+    return np.packbits(np.bincount((sh >> np.uint64(7)).astype(np.int64) & (m - 1), minlength=m).astype(np.uint8) & 1, bitorder="little")
+
+
+def differ(x: np.ndarray, y: np.ndarray) -> int:
+    """The least number of shingles that two sets with these rows of bits differ in."""
+    while len(x) != len(y):  # a longer row folds to half its length
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,9 +135,19 @@ def _batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], least: in
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of pairs(a, b) whose texts(node, text) have at least that similarity."""
-    pairs = saved(pairs.where("a <> b").distinct(), "candidates")
+def confirmed(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs(a, b) whose texts(node, text) have at least that similarity; sketches(node, size, bits) of all."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [[np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()] for i in (2, 3)]
+            least = np.fromiter((differ(x, y) for x, y in zip(*bits)), np.int64, batch.num_rows)
+            most = (1 - similarity) / (1 + similarity) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(least <= most + 1e-9))
+
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("size").cast("long").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+    pairs = pairs.where("a <> b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "bits_a", "bits_b", "size_a", "size_b")
+    pairs = saved(pairs.mapInArrow(bound, "a long, b long"), "candidates")
     need = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
     known = saved(texts.join(sized(need), "node", "left_semi").dropDuplicates(["node"]), "texts")
     both = pairs.join(known.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(known.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
@@ -153,15 +181,17 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
     texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text"))
     common, counts = _common(texts)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def every() -> Iterator[tuple[np.ndarray, ...]]:
-            for b in batches:
-                for node, t in zip(b.column(0).to_pylist(), b.column(1)):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                size, bits, first = [], [], []
+                for t in part.column(1):
                     sh = shingles(t.as_py())
-                    p = prefix(sh, common, counts, similarity)
-                    yield p.view(np.int64), np.full(len(p), node, np.int64), np.full(len(p), len(sh), np.int32)
-
-        yield from _batches(every(), ["key", "node", "size"])
+                    size.append(len(sh))
+                    bits.append(parity(sh).tobytes())
+                    first.append(prefix(sh, common, counts, similarity).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["node", "size", "bits", "first"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[tuple[np.ndarray, ...]]:
@@ -184,7 +214,9 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
 
         yield from _batches(every(), ["a", "b"])
 
-    files = texts.mapInArrow(rows, "key long, node long, size int").repartition("key").sortWithinPartitions("key")
+    sketches = saved(texts.mapInArrow(sketch, "node long, size int, bits binary, first array<long>"), "sketches")
+    files = sketches.select(F.explode("first").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key")
+    sketches = sketches.select("node", "size", "bits").dropDuplicates(["node"])
     met = saved(files.mapInArrow(meet, "kind int, a long, b long, size int"), "met")
     same = prints.groupBy("fp").agg(F.min("tie").alias("lead"))
     same = saved(same, "leads")
@@ -192,13 +224,13 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
     lead = lambda c: same.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
     close = close.join(lead("a"), "a").join(lead("b"), "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
     equal = prints.join(same, "fp").where("tie <> lead").select(F.col("lead").alias("a"), F.col("tie").alias("b"))
-    good = confirmed(met.where("kind = 0").select("a", "b").unionAll(close).unionAll(equal), texts, similarity)
+    good = confirmed(met.where("kind = 0").select("a", "b").unionAll(close).unionAll(equal), texts, sketches, similarity)
     crowds = met.where("kind = 1")
     if not crowds.limit(1).count():
         return good
     known = crowds.select(F.col("a").alias("key"), F.col("b").alias("node"), "size").join(sized(components(good)), "node", "left")
     known = known.select("key", "node", "size", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "node")
-    return good.unionAll(confirmed(known.mapInArrow(rest, "a long, b long"), texts, similarity))
+    return good.unionAll(confirmed(known.mapInArrow(rest, "a long, b long"), texts, sketches, similarity))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

@@ -80,3 +80,15 @@ def test_prefixes_meet():
         c = len(np.intersect1d(a, b))
         if len(b) and 9 * c >= 4 * (len(a) + len(b)):
             assert len(np.intersect1d(near_copies.prefix(a, common, counts), near_copies.prefix(b, common, counts)))
+
+
+def test_bits_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 70, 700):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) > rng.random()], rng.integers(0, 1 << 60, int(rng.integers(0, n + 1))).astype(np.uint64)])
+            if len(b):
+                assert near_copies.differ(near_copies.parity(a), near_copies.parity(b)) <= len(np.setxor1d(a, b))
+    a, b = (rng.integers(0, 1 << 60, 500).astype(np.uint64) for _ in range(2))
+    assert near_copies.differ(near_copies.parity(a), near_copies.parity(b)) > 1000 / 9
