@@ -200,9 +200,9 @@ def a13_least_upper_bounds(spark, d):
     return T.least_upper_bounds(c, above)
 
 
-@query(f"WITH {views.CALLS} SELECT DISTINCT callee, caller FROM calls WHERE callee % 50 = 1 AND opcode IN ('NO')")
+@query(f"WITH {views.CALLS} SELECT DISTINCT callee, caller FROM calls WHERE opcode IN ('NO')")
 def x1_feature_usages(spark, d):
     from ..operators.features import Database, Usages
 
     db = Database({"calls": views.calls(spark, d)}, [Usages()])
-    return db.query("usages", callees=table(spark, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("callee")), opcodes=["NO"])
+    return db.query("usages", callees=table(spark, d, "part").select(F.col("p_partkey").alias("callee")), opcodes=["NO"])

@@ -45,15 +45,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("n", F.row_number().over(w))
 
 
-#: Flow graphs: eight graphs; an edge joins the operands (mod 12) of neighbouring events of a user.
-FLOW = f"""{EVENTS}, fl AS (SELECT DISTINCT a.user_id % 8 AS g, a.k % 12 AS src, b.k % 12 AS dst FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.n = a.n + 1
- WHERE (a.k * 7 + b.k + a.user_id) % 97 < 3)"""
+#: Flow graphs: a graph for each user; an edge joins the operands (mod 12) of neighbouring events.
+FLOW = f"""{EVENTS}, fl AS (SELECT DISTINCT a.user_id AS g, a.k % 12 AS src, b.k % 12 AS dst FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.n = a.n + 1)"""
 
 
 def flow(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("n")
-    e = events(spark, d).withColumn("k2", F.lead("k").over(w)).where("k2 is not null and (k * 7 + k2 + user_id) % 97 < 3")
-    return e.select((F.col("user_id") % 8).alias("g"), (F.col("k") % 12).alias("src"), (F.col("k2") % 12).alias("dst")).distinct()
+    e = events(spark, d).withColumn("k2", F.lead("k").over(w)).where("k2 is not null")
+    return e.select(F.col("user_id").alias("g"), (F.col("k") % 12).alias("src"), (F.col("k2") % 12).alias("dst")).distinct()
 
 
 #: Programs: eight events of a user make a method; signup calls a source, error a cleaner, purchase a sink, others assign.
