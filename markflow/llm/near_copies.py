@@ -10,7 +10,8 @@ of bits differ in places. Every candidate left is confirmed by the exact Jaccard
 shingle hashes. Texts move for those alone.
 
 A file (the texts with one shingle in their prefix) of up to CROWD members gives all its pairs. The members of a larger one
-meet LEADERS of them first; after that, and SimHash's links, only members that are not yet connected are paired.
+meet LEADERS of them first; after that, and SimHash's links, only members that are not yet connected, and pass the bound,
+are paired.
 
 Defined cases: null texts and texts without words are copies of each other; a text of under five words is one shingle.
 Nodes are hashes of texts, so rows that repeat a text are one node. An empty table gives an empty result.
@@ -31,10 +32,10 @@ from .simhash import components, fingerprints, links, standing, standing_only
 
 WORDS = 5
 SIMILARITY = 0.8
-CROWD = 256
+CROWD = 16
 #: Sets of shingles that a task remembers.
 KEPT = 64
-LEADERS = 8
+LEADERS = 4
 #: One of so many texts is looked at for common shingles; from so many of them on a shingle is common; so many are told apart.
 SAMPLE, COMMON, TOLD = 16, 4, 200_000
 
@@ -208,8 +209,17 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[tuple[np.ndarray, ...]]:
-            for _, node, size, root in _files(batches):
-                apart = lambda i: i + 1 + np.nonzero(root[i + 1 :] != root[i])[0]  # noqa: B023, E731
+            for _, node, size, root, bits in _files(batches):
+                if (root == root[0]).all():
+                    continue
+                rows = [np.frombuffer(x, np.uint8) for x in bits]
+
+                def apart(i: int) -> np.ndarray:
+                    at = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])  # noqa: B023
+                    at = at[np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]) - 1e-9]  # noqa: B023
+                    most = (1 - similarity) / (1 + similarity) * (size[at] + size[i]) + 1e-9  # noqa: B023
+                    return at[np.fromiter((differ(rows[i], rows[j]) for j in at.tolist()), np.int64, len(at)) <= most]  # noqa: B023
+
                 yield from _pairs(node, size, apart, similarity, range(len(node)))
 
         yield from _batches(every(), ["a", "b"])
@@ -229,7 +239,11 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
     if not crowds.limit(1).count():
         return good
     known = crowds.select(F.col("a").alias("key"), F.col("b").alias("node"), "size").join(sized(components(good)), "node", "left")
-    known = known.select("key", "node", "size", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "node")
+    known = known.select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    # Files of one component have nothing left to link.
+    open_files = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    known = known.join(open_files, "key", "left_semi").join(sketches.select("node", "bits"), "node")
+    known = known.select("key", "node", "size", "root", "bits").repartition("key").sortWithinPartitions("key", "node")
     return good.unionAll(confirmed(known.mapInArrow(rest, "a long, b long"), texts, sketches, similarity))
 
 
