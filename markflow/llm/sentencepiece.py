@@ -6,7 +6,8 @@ no piece covers cost UNKNOWN below the worst score and become byte pieces where
 back into text; for texts without the white-space symbol itself, and with byte pieces, it gives the text back exactly.
 
 Where the model has no piece that holds the white-space symbol after another character, no best path crosses into such a
-boundary, so a text is cut there and the best paths of its (mostly repeated) parts are remembered, CACHE of them at most.
+boundary, so a text is cut there and the best paths of its (mostly repeated) parts are remembered, CACHE of them at most,
+in two generations: when the newer one is full it becomes the older one, and parts that are met again move back.
 
 The scores of a merge model are its ranks (later merges are lower), and the path is the one of the best total score: it
 often has more pieces than the model's own merges would give.
@@ -21,9 +22,11 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -52,13 +55,33 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ordinary)
 
 
+class Paths(dict):
+    """Best paths of parts, as packed ids; a part that is not there is looked up in the older generation, or found."""
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.older.get(part)
+        if got is None:
+            got = array("i", self.find(part)).tobytes()
+        if len(part) < 64:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[part] = got
+        return got
+
+
 class Automaton:
-    """Aho-Corasick over the pieces: goto, failure and output links."""
+    """Aho-Corasick over the pieces: goto and failure links, and the chain of output links of each state, laid out."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.next: list[dict[str, int]] = [{}]
-        self.out: list[tuple[int, float, int] | None] = [None]  # (id, score, length) of the piece that ends here
+        #: (score, length, id) of the pieces that end in each state, the longest first; states without one of their own share a tuple.
+        self.out: list[tuple[tuple[float, int, int], ...]] = [()]
         for text, (i, score) in pieces.ordinary.items():
             at = 0
             for c in text:
@@ -67,94 +90,78 @@ class Automaton:
                     to = len(self.next)
                     self.next[at][c] = to
                     self.next.append({})
-                    self.out.append(None)
+                    self.out.append(())
                 at = to
-            self.out[at] = (i, score, len(text))
+            self.out[at] = ((score, len(text), i),)
         self.fail = [0] * len(self.next)
-        self.link = [0] * len(self.next)  # the nearest shorter state that ends a piece
         queue = deque(self.next[0].values())
         while queue:
             at = queue.popleft()
             f = self.fail[at]
-            self.link[at] = f if self.out[f] else self.link[f]
+            self.out[at] = self.out[at] + self.out[f] if self.out[at] else self.out[f]
             for c, to in self.next[at].items():
                 g = f
                 while g and c not in self.next[g]:
                     g = self.fail[g]
                 self.fail[to] = self.next[g].get(c, 0) if to != self.next[g].get(c, 0) else 0
                 queue.append(to)
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.paths = Paths(self.viterbi)
+        spelled = [t.encode("utf-8", "surrogatepass") for t in pieces.text]
+        for i in pieces.control:
+            spelled[i] = b""
+        spelled[pieces.unknown] = " ⁇ ".encode()
+        for b, i in pieces.bytes.items():
+            spelled[i] = bytes([b])
+        self.spelled = spelled
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path over text (spaces already turned into SPACE)."""
-        nxt, fail, link, out = self.next, self.fail, self.link, self.out
-        worst, n = self.pieces.worst, len(text)
-        best = [0.0] * (n + 1)
-        how: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        nxt, fail, out = self.next, self.fail, self.out
+        worst = self.pieces.worst
+        best, last, sizes = [0.0], [-1], [1]  # of each end: score, its last piece and that one's length
         state = 0
-        for e in range(1, n + 1):
-            c = text[e - 1]
-            while state and c not in nxt[state]:
+        for e, c in enumerate(text, 1):
+            to = nxt[state].get(c)
+            while to is None and state:
                 state = fail[state]
-            state = nxt[state].get(c, 0)
-            top, by = best[e - 1] + worst, (-1, 1)
-            s = state if out[state] else link[state]
-            one = False
-            while s:
-                i, score, length = out[s]
-                one = one or length == 1
-                if best[e - length] + score > top or by[0] < 0 and length == 1:
-                    top, by = best[e - length] + score, (i, length)
-                s = link[s]
-            best[e], how[e] = top, by
+                to = nxt[state].get(c)
+            state = to or 0
+            top, by, size = best[-1] + worst, -1, 1  # below any piece of one character
+            for score, length, i in out[state]:
+                new = best[e - length] + score
+                if new > top:
+                    top, by, size = new, i, length
+            best.append(top)
+            last.append(by)
+            sizes.append(size)
+        n = len(text)
         ids: list[int] = []
         e = n
         while e:
-            i, length = how[e]
-            if i >= 0:
+            if (i := last[e]) >= 0:
                 ids.append(i)
             else:
                 got = [self.pieces.bytes.get(b) for b in text[e - 1].encode("utf-8", "surrogatepass")]
                 ids.extend(reversed(got) if None not in got else [self.pieces.unknown])
-            e -= length
+            e -= sizes[e]
         return ids[::-1]
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, four bytes each."""
         if not text:
-            return []
+            return b""
         text = text.replace(" ", SPACE)
         if self.pieces.prefix:
             text = SPACE + text
         if not self.pieces.cuts:
-            return self.viterbi(text)
-        ids: list[int] = []
-        seen = self.seen
-        for part in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-            got = seen.get(part)
-            if got is None:
-                got = tuple(self.viterbi(part))
-                if len(part) < 64:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[part] = got
-            ids.extend(got)
-        return ids
+            return array("i", self.viterbi(text)).tobytes()
+        return b"".join(map(self.paths.__getitem__, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        of_byte = {i: b for b, i in self.pieces.bytes.items()}
-        for i in ids:
-            if i in of_byte:
-                raw.append(of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            if i not in self.pieces.control:
-                out.append(" ⁇ " if i == self.pieces.unknown else self.pieces.text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if self.pieces.prefix and text.startswith(" ") else text
 
 
@@ -185,9 +192,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = part.column(at).to_pylist()
-                got = [None if t is None else a.encode(t) for t in texts]
-                ok = [None if t is None else a.decode(g) == t for t, g in zip(texts, got)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.list_(pa.int32())), pa.array(ok, pa.bool_())], names=[*names, ids, "round_trip"])
+                got = [b"" if t is None else a.packed(t) for t in texts]
+                ok = [None if t is None else a.decode(array("i", g).tolist()) == t for t, g in zip(texts, got)]
+                ends = np.cumsum([0, *[len(g) // 4 for g in got]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)), mask=pa.array([t is None for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(ok, pa.bool_())], names=[*names, ids, "round_trip"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, `{ids}` array<int>, round_trip boolean")

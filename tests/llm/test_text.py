@@ -210,3 +210,16 @@ def test_columns_of_any_name_pass_through(edge_docs):
         assert len(names) >= len(CLASH) - 2
         for r in df.collect():
             assert all(r[c].split(" ")[0] == c for c in names)
+
+
+def test_remembered_paths_are_the_best_paths(monkeypatch):
+    with open(MODEL, "rb") as f:
+        a = sentencepiece.Automaton(sentencepiece.Pieces(f.read()))
+    monkeypatch.setattr(sentencepiece, "CACHE", 6)
+    words = ["the", "of", "überall", "a" * 80, "\U0001f642x", "один", "two", "three", "four"]
+    for k in range(200):
+        text = " ".join(words[(k * 7 + j * j) % len(words)] for j in range(12))
+        parts = sentencepiece.re.findall("▁*[^▁]+|▁+", "▁" * a.pieces.prefix + text.replace(" ", "▁"))
+        assert a.encode(text) == [i for p in parts for i in a.viterbi(p)] and a.decode(a.encode(text)) == text
+        assert len(a.paths) <= 3 and len(a.paths.older) <= 3
+    assert a.encode("") == [] and a.decode([]) == ""
