@@ -117,9 +117,12 @@ def compile_formula(f: tuple, symbols: list[str]) -> Dfa:
         return sequence([None if s == "..." else ids[s] for s in args[0]], k)
     if op == "not":
         return minimal(complement(compile_formula(args[0], symbols)))
-    if op == "inside":  # the inner pattern with the outer one's steps around it, the first before and the last after
-        first, last = args[0][0], args[0][-1]
-        return sequence([ids[first], None, *[None if s == "..." else ids[s] for s in args[1]], None, ids[last]], k)
+    if op == "inside":  # the inner pattern at an ellipsis of the outer one; where that has none, between two of its steps
+        outer, inner = list(args[0]), list(args[1])
+        rooms = [(i, i + 1) for i, s in enumerate(outer) if s == "..."] or [(i, i) for i in range(1, len(outer))]
+        if not rooms:
+            raise ValueError("a context of one step has no room for a pattern")
+        return compile_formula(("either", *[("pattern", [*outer[:i], "...", *inner, "...", *outer[j:]]) for i, j in rooms]), symbols)
     made = [compile_formula(a, symbols) for a in args]
     out = made[0]
     for m in made[1:]:

@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from markflow.operators import graph as G
@@ -151,3 +153,19 @@ def test_windows_of_a_hot_key(spark):
         assert got[r.n] == last.get(r.k)
         if r.v is not None:
             last[r.k] = r.v
+
+
+def test_inside_keeps_every_step_of_its_context():
+    syms, rng = ["a", "b", "c", "v", "w"], random.Random(9)
+    want = {
+        ("a", "...", "c"): "a.*vw.*c",
+        ("a", "...", "b", "...", "c"): "a.*vw.*b.*c|a.*b.*vw.*c",
+        ("a", "b"): "a.*vw.*b",
+    }
+    for outer, pattern in want.items():
+        dfa = P.compile_formula(("inside", list(outer), ["v", "w"]), syms)
+        for _ in range(2000):
+            word = [rng.randrange(6) for _ in range(rng.randrange(12))]
+            assert dfa.accepts(word) == bool(re.search(pattern, "".join("abcvwx"[i] for i in word)))
+    with pytest.raises(ValueError):
+        P.compile_formula(("inside", ["a"], ["v"]), syms)
