@@ -11,7 +11,8 @@ shingle hashes. Texts move for those alone.
 
 A file (the texts with one shingle in their prefix) of up to CROWD members gives all its pairs. The members of a larger one
 meet LEADERS of them first; after that, and SimHash's links, only members that are not yet connected, and pass the bound,
-are paired.
+are paired. Copies share many files: each member has its FIRST smallest open files with it, and a file leaves a pair to a
+smaller one that both have there. So no pair is lost, as the smallest file that two share never leaves them out.
 
 Defined cases: null texts and texts without words are copies of each other; a text of under five words is one shingle.
 Nodes are hashes of texts, so rows that repeat a text are one node. An empty table gives an empty result.
@@ -36,6 +37,7 @@ CROWD = 16
 #: Sets of shingles that a task remembers.
 KEPT = 64
 LEADERS = 4
+FIRST = 32
 #: One of so many texts is looked at for common shingles; from so many of them on a shingle is common; so many are told apart.
 SAMPLE, COMMON, TOLD = 16, 4, 200_000
 
@@ -209,13 +211,22 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[tuple[np.ndarray, ...]]:
-            for _, node, size, root, bits in _files(batches):
+            for key, node, size, root, bits, first in _files(batches):
                 if (root == root[0]).all():
                     continue
                 rows = [np.frombuffer(x, np.uint8) for x in bits]
+                before = [f[f < key[0]].tolist() for f in first]
+                inside: dict[int, list[int]] = {}  # members of each smaller file
+                for i, f in enumerate(before):
+                    for k in f:
+                        inside.setdefault(k, []).append(i)
 
                 def apart(i: int) -> np.ndarray:
-                    at = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])  # noqa: B023
+                    other = root != root[i]  # noqa: B023
+                    other[: i + 1] = False
+                    for k in before[i]:  # noqa: B023
+                        other[inside[k]] = False  # noqa: B023
+                    at = np.flatnonzero(other)
                     at = at[np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]) - 1e-9]  # noqa: B023
                     most = (1 - similarity) / (1 + similarity) * (size[at] + size[i]) + 1e-9  # noqa: B023
                     return at[np.fromiter((differ(rows[i], rows[j]) for j in at.tolist()), np.int64, len(at)) <= most]  # noqa: B023
@@ -242,8 +253,10 @@ def near_links(docs: DataFrame, prints: DataFrame, text: str = "text", similarit
     known = known.select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     # Files of one component have nothing left to link.
     open_files = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    known = known.join(open_files, "key", "left_semi").join(sketches.select("node", "bits"), "node")
-    known = known.select("key", "node", "size", "root", "bits").repartition("key").sortWithinPartitions("key", "node")
+    known = saved(known.join(open_files, "key", "left_semi"), "open")
+    first = known.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
+    known = known.join(sketches.select("node", "bits"), "node").join(first, "node")
+    known = known.select("key", "node", "size", "root", "bits", "first").repartition("key").sortWithinPartitions("key", "node")
     return good.unionAll(confirmed(known.mapInArrow(rest, "a long, b long"), texts, sketches, similarity))
 
 
