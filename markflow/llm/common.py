@@ -112,9 +112,12 @@ def mixed(h):
     """Spreads 64-bit hashes over all bits."""
     import numpy as np
 
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xCA4BCAA75EC3F625)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xCA4BCAA75EC3F625)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 class Rolling:
@@ -128,8 +131,10 @@ class Rolling:
         power = np.full(n + 1, base, np.uint64)
         power[0] = 1
         np.cumprod(power, out=power)
+        power[:n] *= table[buf]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[buf] * power[:n], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum(power[:n], out=self.sums[1:], dtype=np.uint64)
+        del power
         self.undo = np.full(n + 1, np.uint64(pow(_BASE, -1, 2**64)), np.uint64)
         self.undo[0] = 1
         np.cumprod(self.undo, out=self.undo)
@@ -137,6 +142,12 @@ class Rolling:
     def of(self, at, end):
         return mixed((self.sums[end] - self.sums[at]) * self.undo[at])
 
+    def every(self, length: int):
+        """of(at, at + length) for all places: by slices, without arrays of places."""
+        h = self.sums[length:] - self.sums[:-length]
+        h *= self.undo[: len(h)]
+        return mixed(h)
+
 
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """Column names like `names` that docs does not have."""

@@ -56,23 +56,29 @@ def anchors(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, roll: Rolling
     if n < LENGTH:
         return np.empty(0, np.int64)
     m = n - SEED + 1
-    at = np.arange(m)
-    value = (roll.of(at, at + SEED) >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
+    value = roll.every(SEED)
+    value >>= np.uint64(bits)
+    value <<= np.uint64(bits)
+    value |= np.arange(m, dtype=np.uint64)
     w = SIDE + 1
     rows = -(-m // w)
     grid = np.full(rows * w, np.uint64(2**64 - 1))
     grid[:m] = value
+    del value
     grid = grid.reshape(rows, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)
+    del grid
+    behind = behind[:, ::-1].ravel()
     windows = n - LENGTH + 1
-    least = np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows])
+    least = np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows], out=behind[:windows])
+    del ahead
     inside = np.zeros(n + 1, np.int32)
     long = ends - begins >= LENGTH
     np.add.at(inside, begins[long], 1)
     np.add.at(inside, ends[long] - LENGTH + 1, -1)
     chosen = np.zeros(m, bool)
-    chosen[(least[np.cumsum(inside)[:windows] > 0] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    chosen[(least[np.cumsum(inside, dtype=np.int32)[:windows] > 0] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
     return np.nonzero(chosen)[0]
 
 
@@ -326,6 +332,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     tie = F.xxhash64("text").alias("tie")
     texts = rows.where("not __maybe").select("doc_id", tie, "text").unionAll(maybe.where("doc_id = __first").select("doc_id", tie, "text"))
     copies = maybe.where("doc_id <> __first").select("doc_id", "text")
+    texts = saved(texts, "texts")  # read three times: the filter is joined once
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, math.ceil(total * 2 / (SIDE + 2) / BUCKET))
     group = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("k"), F.lit(max(64, buckets)))).otherwise(F.col("bucket")).cast("int")

@@ -156,3 +156,25 @@ def test_suffix_dedup_edges(edge_docs, no_docs):
     assert len(got) == edge_docs.count() and suffix_dedup.dedup_table(no_docs).count() == 0
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by[5].n_removed < by[5].n_bytes and by[6].n_removed >= by[6].n_bytes - 4 - 99 and by[3].n_bytes == 0
+
+
+def test_suffix_dedup_joins_its_filter_once(small_docs):
+    """What follows reads texts as they were written: no further lookup of each row in the filter of repeats."""
+    texts, _, gone = suffix_dedup.spans(small_docs.select("doc_id", "text"))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and texts.select("doc_id").distinct().count() <= small_docs.count() and gone.columns == ["doc_id", "tie", "spans"]
+
+
+def test_anchors_of_a_block_take_little_memory():
+    import tracemalloc
+
+    buf = np.random.default_rng(0).integers(97, 110, 1 << 20).astype(np.uint8)
+    begins = np.arange(0, 1 << 20, 4096)
+    roll = suffix_dedup.Rolling(buf)
+    at = np.arange(0, 1 << 20, 997)[:-1]
+    assert (roll.every(32)[at] == roll.of(at, at + 32)).all()
+    tracemalloc.start()
+    suffix_dedup.anchors(buf, begins, begins + 4096, roll)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(buf)  # it was 69
