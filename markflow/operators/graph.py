@@ -1,15 +1,196 @@
 """Flow graphs: dominators, loops, blocks, components, orders, and data-flow problems as fixpoints over edges(g, src, dst).
 
-g names the graph (a method); all graphs are worked on at once.
+g names the graph (a method); all graphs are worked on at once. Dominators, loops and strongly connected components of graphs of
+at most SMALL edges are found graph by graph in Python workers, in one pass over edges sorted by graph: no rounds, and nothing that
+grows with the number of graphs on the driver. Larger graphs, and those with nulls, go through fixpoints.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..runtime import closed, saved
 
+#: Edges (and other rows) of a graph up to which one task works on it as a whole.
+SMALL = 2048
+#: Result rows that a worker sends on together.
+SENT = 50_000
+
+
+def _marked(*kinds: DataFrame) -> DataFrame:
+    """Rows (g, src, dst) with kind: which of the relations they are from."""
+    out = kinds[0].select("g", "src", "dst", F.lit(0).alias("kind"))
+    for k, rows in enumerate(kinds[1:], 1):
+        out = out.unionAll(rows.select("g", "src", "dst", F.lit(k)))
+    return out
+
+
+def _wide(rows: DataFrame) -> DataFrame | None:
+    """(g): graphs that are no work for one task; None if there are none."""
+    odd = F.col("g").isNull() | F.col("src").isNull() | ((F.col("kind") == 0) & F.col("dst").isNull())
+    wide = saved(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(odd).alias("odd")).where(F.col("odd") | (F.col("n") > SMALL)).select(F.col("g").alias("__w")), "wide")
+    return wide if wide.limit(1).count() else None
+
+
+def _of(rows: DataFrame, wide: DataFrame, how: str) -> DataFrame:
+    return rows.join(wide, F.col("g").eqNullSafe(F.col("__w")), how)
+
+
+def _each(rows: DataFrame, work: Callable[[list[tuple]], Iterable[tuple]], names: list[str]) -> DataFrame:
+    """(g, *names): work([(src, dst, kind)]) of each graph."""
+    import pyarrow as pa
+
+    size = SENT
+    kinds = [rows.schema["g"].dataType] + [rows.schema["src"].dataType] * len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(got: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), types)], names=["g", *names])
+
+        def graphs() -> Iterator[tuple]:
+            now, mine = None, []
+            for b in batches:
+                types[:] = [b.schema.field(0).type] + [b.schema.field(1).type] * len(names)
+                for g, *row in zip(*(c.to_pylist() for c in b.columns)):
+                    if g != now and mine:
+                        yield now, mine
+                        mine = []
+                    now = g
+                    mine.append(row)
+            if mine:
+                yield now, mine
+
+        types: list[pa.DataType] = []
+        got: list[tuple] = []
+        for g, mine in graphs():
+            for row in work(mine):
+                got.append((g, *row))
+                if len(got) >= size:
+                    yield sent(got)
+                    got = []
+        if got:
+            yield sent(got)
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, StructType([StructField(n, k) for n, k in zip(["g", *names], kinds)]))
+
+
+def _dominated(rows: list[tuple]) -> Iterator[tuple]:
+    """(node, dom) of a graph; rows of kind 1 are entries. Sets of dominators are bits, met over predecessors until they stand."""
+    after: dict = {}
+    for s, d, kind in rows:
+        if not kind:
+            after.setdefault(s, []).append(d)
+    entries = list(dict.fromkeys(s for s, _, kind in rows if kind))
+    seen, post = set(), []
+    for e in entries:
+        if e in seen:
+            continue
+        seen.add(e)
+        stack = [(e, iter(after.get(e, ())))]
+        while stack:
+            node, rest = stack[-1]
+            for d in rest:
+                if d not in seen:
+                    seen.add(d)
+                    stack.append((d, iter(after.get(d, ()))))
+                    break
+            else:
+                post.append(node)
+                stack.pop()
+    nodes = post[::-1]
+    at = {n: i for i, n in enumerate(nodes)}
+    before: list[list[int]] = [[] for _ in nodes]
+    for n, i in at.items():
+        for d in after.get(n, ()):
+            before[at[d]].append(i)
+    every = (1 << len(nodes)) - 1
+    doms = [every] * len(nodes)
+    for e in entries:
+        doms[at[e]] = 1 << at[e]
+        before[at[e]] = []
+    moving = True
+    while moving:
+        moving = False
+        for i, come in enumerate(before):
+            if come:
+                m = every
+                for p in come:
+                    m &= doms[p]
+                m |= 1 << i
+                moving |= m != doms[i]
+                doms[i] = m
+    for n, m in zip(nodes, doms):
+        while m:
+            low = m & -m
+            yield n, nodes[low.bit_length() - 1]
+            m ^= low
+
+
+def _bodies(rows: list[tuple]) -> Iterator[tuple]:
+    """(head, node) of a graph; rows of kind 1 are its back edges."""
+    before: dict = {}
+    for s, d, kind in rows:
+        if not kind:
+            before.setdefault(d, []).append(s)
+    heads: dict = {}
+    for s, d, kind in rows:
+        if kind:
+            heads.setdefault(d, []).append(s)
+    for head, stack in heads.items():
+        body = {head, *stack}
+        while stack:
+            node = stack.pop()
+            if node != head:
+                more = [s for s in before.get(node, ()) if s not in body]
+                body.update(more)
+                stack.extend(more)
+        for node in body:
+            yield head, node
+
+
+def _strong(rows: list[tuple]) -> Iterator[tuple]:
+    """(node, scc) of a graph, by Tarjan's algorithm without recursion."""
+    after: dict = {}
+    for s, d, _ in rows:
+        after.setdefault(s, []).append(d)
+        after.setdefault(d, [])
+    number: dict = {}
+    low: dict = {}
+    open_, path = set(), []
+    for root in after:
+        if root in number:
+            continue
+        stack = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        open_.add(root)
+        path.append(root)
+        while stack:
+            node, rest = stack[-1]
+            for d in rest:
+                if d not in number:
+                    number[d] = low[d] = len(number)
+                    open_.add(d)
+                    path.append(d)
+                    stack.append((d, iter(after[d])))
+                    break
+                if d in open_:
+                    low[node] = min(low[node], number[d])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = path[path.index(node) :] if path[-1] != node else [node]
+                    del path[-len(own) :]
+                    open_.difference_update(own)
+                    least = min(own)
+                    for n in own:
+                        yield n, least
+
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(g, node): nodes reachable from seeds(g, node), those included."""
@@ -33,9 +214,20 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(g, node, dom): dom is on every path from the graph's entry to node.
 
-    d fails to dominate n if n is reached without passing d: for each d, nodes reached that way by a fixpoint, then an anti
-    join. Nodes that no path reaches have no rows.
+    Nodes that no path reaches have no rows.
     """
+    edges, entries = saved(edges.select("g", "src", "dst"), "edges"), saved(entries.select("g", "node"), "entries")
+    rows = _marked(edges, entries.select("g", F.col("node").alias("src"), F.col("node").alias("dst")))
+    wide = _wide(rows)
+    if wide is None:
+        return saved(_each(rows, _dominated, ["node", "dom"]), "doms")
+    small = _each(_of(rows, wide, "left_anti"), _dominated, ["node", "dom"])
+    return saved(small.unionByName(_dominators_wide(_of(edges, wide, "left_semi"), _of(entries, wide, "left_semi"))), "doms")
+
+
+def _dominators_wide(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """dominators() by fixpoints: d fails to dominate n if n is reached without passing d; for each d, nodes reached that way, then
+    an anti join."""
     live = reach(edges, entries)
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     starts = live.select("g", F.col("node").alias("cut")).join(entries.select("g", "node"), "g").where("node <> cut")
@@ -50,13 +242,24 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def immediate_dominators(doms: DataFrame) -> DataFrame:
     """(g, node, idom): the strict dominator with most dominators of its own."""
     depth = doms.groupBy("g", "node").agg(F.count(F.lit(1)).alias("depth"))
-    strict = doms.where("node <> dom").join(depth.select("g", F.col("node").alias("dom"), "depth"), ["g", "dom"])
+    strict = doms.where("node <> dom").join(depth.select("g", F.col("node").alias("dom"), "depth").hint("merge"), ["g", "dom"])
     return strict.groupBy("g", "node").agg(F.max_by("dom", "depth").alias("idom"))
 
 
 def loops(edges: DataFrame, doms: DataFrame) -> DataFrame:
     """(g, head, node): bodies of natural loops; back edges to one head make one loop."""
-    back = edges.join(doms.select("g", F.col("node").alias("src"), F.col("dom").alias("dst")), ["g", "src", "dst"], "left_semi")
+    edges = saved(edges.select("g", "src", "dst"), "edges")
+    back = saved(edges.join(doms.select("g", F.col("node").alias("src"), F.col("dom").alias("dst")).hint("merge"), ["g", "src", "dst"], "left_semi"), "back")
+    rows = _marked(edges, back)
+    wide = _wide(rows)
+    if wide is None:
+        return _each(rows, _bodies, ["head", "node"])
+    small = _each(_of(rows, wide, "left_anti"), _bodies, ["head", "node"])
+    return small.unionByName(_loops_wide(_of(edges, wide, "left_semi"), _of(back, wide, "left_semi")))
+
+
+def _loops_wide(edges: DataFrame, back: DataFrame) -> DataFrame:
+    """loops() of back edges by a fixpoint."""
     e = edges.select(F.col("g").alias("__g"), F.col("src").alias("__s"), F.col("dst").alias("__d"))
     seed = back.select("g", F.col("dst").alias("head"), F.col("src").alias("node")).unionByName(back.select("g", F.col("dst").alias("head"), F.col("dst").alias("node")))
     body = closed(seed, lambda new, n: new.where("node <> head").join(e, (F.col("g") == F.col("__g")) & (F.col("node") == F.col("__d"))).select("g", "head", F.col("__s").alias("node")))
@@ -85,6 +288,16 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(g, node, scc): strongly connected components named by their smallest node; single nodes without a cycle are their own."""
+    edges = saved(edges.select("g", "src", "dst"), "edges")
+    rows = _marked(edges)
+    wide = _wide(rows)
+    if wide is None:
+        return _each(rows, _strong, ["node", "scc"])
+    return _each(_of(rows, wide, "left_anti"), _strong, ["node", "scc"]).unionByName(_components_wide(_of(edges, wide, "left_semi")))
+
+
+def _components_wide(edges: DataFrame) -> DataFrame:
+    """components() from all pairs that reach each other."""
     pairs = reach_pairs(edges)
     both = pairs.join(pairs.select("g", F.col("a").alias("b"), F.col("b").alias("a")), ["g", "a", "b"], "left_semi")
     nodes = edges.select("g", F.col("src").alias("node")).unionByName(edges.select("g", F.col("dst").alias("node"))).distinct()

@@ -169,3 +169,31 @@ def test_inside_keeps_every_step_of_its_context():
             assert dfa.accepts(word) == bool(re.search(pattern, "".join("abcvwx"[i] for i in word)))
     with pytest.raises(ValueError):
         P.compile_formula(("inside", ["a"], ["v"]), syms)
+
+
+def test_small_graphs_equal_the_fixpoints(spark, monkeypatch):
+    """Graph by graph without rounds, by fixpoints, and some of each: equal rows; a null node and an entry without edges too."""
+    rng = random.Random(7)
+    rows = [(g, rng.randrange(9), rng.randrange(9)) for g in range(12) for _ in range(4 + 2 * g)] + [(20, None, 1), (20, 1, 2), (20, 2, 1)]
+    e = spark.createDataFrame(rows, "g long, src int, dst int").distinct()
+    entries = spark.createDataFrame([(g, min(s for h, s, _ in rows if h == g)) for g in range(12)] + [(4, 5), (20, 1), (30, 3)], "g long, node int")
+
+    def all_of():
+        doms = G.dominators(e, entries)
+        got = [_set(doms, "g", "node", "dom"), _set(G.immediate_dominators(doms), "g", "node", "idom"), _set(G.loops(e, doms), "g", "head", "node"), _set(G.components(e), "g", "node", "scc")]
+        assert len(got[0]) == doms.count() and len(got[2]) == G.loops(e, doms).count() and len(got[3]) == G.components(e).count()
+        return got
+
+    def none(*_):
+        raise AssertionError("rounds for small graphs")
+
+    some = all_of()
+    for bound in (0, 14):
+        monkeypatch.setattr(G, "SMALL", bound)
+        assert all_of() == some
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "closed", none)
+    e = e.where("g < 20")
+    doms = G.dominators(e, entries.where("g < 20"))
+    assert _set(doms, "g", "node", "dom") == {x for x in some[0] if x[0] < 20} and _set(G.components(e), "g", "node", "scc") == {x for x in some[3] if x[0] < 20}
+    assert _set(G.loops(e, doms), "g", "head", "node") == {x for x in some[2] if x[0] < 20}
