@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import taint as T
+from ..runtime import saved
 from . import views
 from .registry import query
 
@@ -35,7 +36,7 @@ def h25_trimmed(spark, d):
 
 @query(f"{_DOM} SELECT g, node, dom FROM dm")
 def h13_dominators(spark, d):
-    e = views.flow(spark, d)
+    e = saved(views.flow(spark, d), "flow")
     return G.dominators(e, _entries(e))
 
 
