@@ -35,6 +35,8 @@ SEGMENTS = 8
 CHAIN = 3
 #: Members of a file that one task compares at a time.
 BLOCK = 4096
+#: Members of a file up to which its pairs are compared together with those of other files, not member by member.
+PAIRED = 256
 #: Distinct fingerprints that one task files.
 SPREAD = 250_000
 
@@ -145,6 +147,36 @@ def forest(left: np.ndarray, right: np.ndarray | None = None, distance: int = DI
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
+def paired(fp: np.ndarray, cut: np.ndarray, size: np.ndarray, distance: int = DISTANCE, most: int = 1 << 18) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Links in files that stand one after another in fp, at cut and of size members: (a, b), and which files link so much
+    that a spanning forest says it in fewer pairs; those files' links are not in (a, b)."""
+    file = np.repeat(np.arange(len(cut)), size)
+    at = np.repeat(cut, size) + np.arange(len(file)) - np.repeat(np.cumsum(size) - size, size)
+    after = np.repeat(cut + size, size) - at
+    left, right, of = [], [], []
+    step = 1
+    while True:
+        has = after > step  # members that have one so many places on
+        at, after, file = at[has], after[has], file[has]
+        if not len(at):
+            break
+        for k in range(0, len(at), most):
+            x = at[k : k + most]
+            diff = fp[x] ^ fp[x + step]
+            ok = np.nonzero(budgets(diff, distance=distance))[0]
+            ok = ok[np.bitwise_count(diff[ok]) <= distance]
+            left.append(x[ok])
+            right.append(x[ok] + step)
+            of.append(file[k : k + most][ok])
+        step += 1
+    if not left:
+        return [], [], np.zeros(len(cut), bool)
+    left, right, of = np.concatenate(left), np.concatenate(right), np.concatenate(of)
+    thick = np.bincount(of, minlength=len(cut)) >= size
+    thin = ~thick[of]
+    return [fp[left[thin]]], [fp[right[thin]]], thick
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """(a, b): for each file a spanning forest of the links in it; their union connects what all links connect."""
     if distance > DISTANCE:
@@ -179,11 +211,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             cut = np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (two[1:] != two[:-1])])[0] if len(key) else np.empty(0, int)
             size = np.diff(np.r_[cut, len(key)])
             fp = fp.view(np.uint64)
-            duo = cut[size == 2]
-            duo = duo[budgets(fp[duo] ^ fp[duo + 1], distance=distance)]
-            duo = duo[np.bitwise_count(fp[duo] ^ fp[duo + 1]) <= distance]
-            a, b = [fp[duo]], [fp[duo + 1]]
-            for s, n in zip(cut[size > 2].tolist(), size[size > 2].tolist()):
+            some = (size > 1) & (size <= PAIRED)
+            a, b, thick = paired(fp, cut[some], size[some], distance)
+            single = size > PAIRED
+            single[np.nonzero(some)[0][thick]] = True
+            a, b = [np.empty(0, np.uint64), *a], [np.empty(0, np.uint64), *b]
+            for s, n in zip(cut[single].tolist(), size[single].tolist()):
                 x, m = fp[s : s + n], mine[s : s + n]
                 got = forest(x, None, distance) if (m == m[0]).all() else forest(x[m == m[0]], x[m != m[0]], distance)
                 a.append(got[0])

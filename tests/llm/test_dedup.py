@@ -178,3 +178,26 @@ def test_anchors_of_a_block_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 48 * len(buf)  # it was 69
+
+
+def test_small_files_are_compared_together(monkeypatch):
+    """Files of a few members take no Python step each; a file full of links goes to the forest."""
+    rng = np.random.default_rng(6)
+    size = rng.integers(2, 9, 400)
+    fp, cut = rng.integers(0, 2**64, size.sum(), np.uint64), np.cumsum(size) - size
+    fp[cut[::2] + 1] = fp[cut[::2]] ^ np.uint64(1 << 40 | 3)
+    full = slice(cut[7], cut[7] + size[7])
+    fp[full] = fp[cut[7]] ^ (np.uint64(1) << np.arange(size[7], dtype=np.uint64))
+    calls, real = [], simhash.budgets
+    monkeypatch.setattr(simhash, "budgets", lambda *a, **k: calls.append(1) or real(*a, **k))
+    a, b, thick = simhash.paired(fp, cut, size)
+    assert len(calls) == size.max() - 1
+    got = {(int(x), int(y)) for x, y in zip(np.concatenate(a), np.concatenate(b))}
+    want, dense = set(), set()
+    for k, (s, n) in enumerate(zip(cut, size)):
+        own = {(int(fp[i]), int(fp[j])) for i in range(s, s + n) for j in range(i + 1, s + n) if int(fp[i] ^ fp[j]).bit_count() <= 4}
+        if len(own) < n:
+            want |= own
+        else:
+            dense.add(k)
+    assert got == want and set(np.nonzero(thick)[0].tolist()) == dense and (7 in dense or size[7] < 3)
