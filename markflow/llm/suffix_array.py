@@ -1,142 +1,69 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes.
+"""Suffix arrays by prefix doubling, and permuted common prefixes.
 
-`suffix_array` classifies suffixes as S or L, sorts the leftmost-smaller (LMS) substrings by induction, names them, solves
-the reduced string the same way and induces the whole array from it. An induction pass reads the places of its list in
-order; all that stands before the first bucket which still waits for suffixes is final, so it is read in one vector step (a
-wave), and what it induces goes to the ends of its buckets in one stable scatter. Each suffix is read and placed once,
-whatever the alphabet; a random string of n symbols takes some sqrt(n) waves.
+`suffix_array` sorts all suffixes by as many first symbols as fit a 64-bit word beside a place. Suffixes that are still equal
+share a rank; they are sorted by it and by the rank of what follows the symbols compared so far, which doubles these, until
+no two are equal. A round sorts whole words (key and place together, several times as fast as sorting places by key), and only
+the suffixes that are not settled. A string whose longest repeat has r symbols takes some log2(r) rounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Buckets looked at together for the first one that waits.
-_LOOK = 1024
 
-
-def _pass(t: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
-    """One induction pass: `seeds` in order, and the suffixes marked in `wanted`, which stand before the seeds of their bucket.
-
-    t is the string with symbols as the pass meets them (reversed for the S pass). A suffix that is read puts the one
-    before it, if wanted, at the next free place of its bucket.
-    """
-    need = np.bincount(t[wanted], minlength=sigma)
-    order = np.argsort(t[seeds], kind="stable")
-    sym = t[seeds[order]]
-    have = np.bincount(sym, minlength=sigma)
-    begin = np.cumsum(need + have) - need - have
-    goal = begin + need
-    every = np.arange(max(len(wanted), len(seeds)))
-    out = np.empty(len(seeds) + int(need.sum()), np.int64)
-    out[(goal - np.cumsum(have) + have)[sym] + every[: len(sym)]] = seeds[order]
-    free, at, c, end = begin, 0, 0, len(out)
-    while at < end:
-        to = end
-        while c < sigma:  # the first bucket that waits
-            waits = free[c : c + _LOOK] < goal[c : c + _LOOK]
-            i = int(waits.argmax())
-            if waits[i]:
-                c += i
-                to = int(free[c])
-                break
-            c += _LOOK
-        p = out[at:to] - 1
-        at = to
-        p = p[wanted[p]]  # before the first symbol stands the last one, which is never wanted
-        n = len(p)
-        if n > 1:
-            sym = t[p]
-            order = sym.argsort(kind="stable")
-            sym = sym[order]
-            first = np.empty(n, bool)
-            first[0] = True
-            np.not_equal(sym[1:], sym[:-1], out=first[1:])
-            first = first.nonzero()[0]
-            size = np.empty_like(first)
-            np.subtract(first[1:], first[:-1], out=size[:-1])
-            size[-1] = n - first[-1]
-            sym = sym[first]
-            out[every[:n] + (free[sym] - first).repeat(size)] = p[order]
-            free[sym] += size
-        elif n:
-            sym = t[p[0]]
-            out[free[sym]] = p[0]
-            free[sym] += 1
-    return out
-
-
-def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """The suffix array induced from LMS suffixes in the given order (by symbols)."""
-    n = len(t)
-    is_l = ~is_s
-    low = _pass(t, is_l, lms, sigma)
-    low = low[is_l[low]]
-    rest = is_s.copy()
-    rest[-1] = False  # the last suffix precedes none; it is the least
-    turned = np.subtract(sigma - 1, t, dtype=t.dtype)
-    high = _pass(turned, rest, low[::-1], sigma)
-    sa = np.empty(n, np.int64)
-    sa[0] = n - 1
-    sa[1:] = high[::-1]
-    return sa
-
-
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next; the last symbol is the smallest and stands alone."""
-    n = len(t)
-    out = np.zeros(n, bool)
-    out[-1] = True
-    differs = np.nonzero(t[:-1] != t[1:])[0]
-    less = t[differs] < t[differs + 1]
-    out[:-1] = np.repeat(less, np.diff(np.r_[-1, differs]))[: n - 1]
-    return out
-
-
-def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the LMS substrings in the order of their positions, and how many there are; order: LMS positions, sorted."""
-    rank_of = np.searchsorted(lms, order)
-    ends = np.r_[lms[1:], lms[-1]]
-    length = (ends - lms + 1)[rank_of]
-    same = length[1:] == length[:-1]
-    a, b, size = order[1:], order[:-1], length[1:]
-    live = np.nonzero(same)[0]
-    k = 0
-    while len(live):
-        live_ok = t[a[live] + k] == t[b[live] + k]
-        same[live[~live_ok]] = False
-        live = live[live_ok]
-        k += 1
-        live = live[size[live] > k]
-    name = np.r_[0, np.cumsum(~same)]
-    out = np.empty(len(lms), np.int64)
-    out[rank_of] = name
-    return out, int(name[-1]) + 1 if len(name) else 0
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (below 2^bits) in order, and the places that they come from."""
+    own = len(key).bit_length()
+    if bits + own > 63:
+        order = key.argsort(kind="stable")
+        return key[order], order
+    key = key << own
+    key |= np.arange(len(key))
+    key.sort()
+    return key >> own, key & ((1 << own) - 1)
 
 
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     """Suffix array of t (symbols below sigma), whose last symbol is 0 and stands nowhere else."""
-    t = np.asarray(t, np.uint16 if sigma <= 1 << 16 else np.int64)  # stable sorts of 16-bit symbols are radix sorts
-    n = len(t)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    is_s = _types(t)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    sa = _induce(t, is_s, lms, sigma)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    name, names = _names(t, lms, order)
-    if names < len(lms):
-        order = lms[suffix_array(name, names)]
-    return _induce(t, is_s, order, sigma)
-
-
-def common_prefixes(t: np.ndarray, sa: np.ndarray, texts: np.ndarray, most: int) -> np.ndarray:
+    n, width = len(t), max(1, (sigma - 1).bit_length())
+    bits = n.bit_length()
+    h = max(1, (63 - bits) // width)
+    room = np.zeros(n + h, np.int64)
+    room[:n] = t
+    key = room[:n].copy()
+    for j in range(1, h):
+        key <<= width
+        key |= room[j : j + n]
+    del room
+    kind = np.int32 if n < 1 << 31 else np.int64
+    key, sa = _sorted(key, width * h)
+    p = sa = sa.astype(kind)
+    rank, live = np.empty(n, kind), np.arange(n, dtype=kind)
+    while True:  # p: the suffixes at the places `live` of sa, sorted by their first h symbols
+        first = np.ones(len(p), bool)
+        np.not_equal(key[1:], key[:-1], out=first[1:])
+        first = np.flatnonzero(first)
+        size = np.diff(first, append=len(p))
+        rank[p] = live[first].repeat(size)
+        tied = (size > 1).repeat(size)
+        live, p = live[tied], p[tied]
+        if not len(p):
+            return sa
+        key = rank[p].astype(np.int64)
+        key <<= bits
+        key |= rank[p + h]  # equal so far: neither has come to the last symbol
+        key, order = _sorted(key, 2 * bits)
+        p = p[order]
+        sa[live] = p
+        h *= 2
+
+
+def common_prefixes(t: np.ndarray, sa: np.ndarray, texts: np.ndarray, most: int, ends: np.ndarray | None = None) -> np.ndarray:
     """Permuted common prefixes: for each position of t (bytes), how much its suffix shares with the one before it in sa, up to `most`.
 
-    texts: where the texts that make up t start (the first 0). Going from one position to the next of a text, at most one
-    symbol of the common prefix is lost; all texts take that step together, and compare eight bytes at a time.
+    texts: where the texts that make up t start (the first 0); ends: where to stop in each (else where the next one starts;
+    0 is returned for what is beyond). Going from one position to the next of a text, at most one symbol of the common prefix
+    is lost; all texts take that step together, and compare eight bytes at a time.
     """
     n = len(t)
     room = np.zeros(n + most + 16, np.uint8)
@@ -147,7 +74,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, texts: np.ndarray, most: int)
     before[sa[0]] = -1
     out = np.zeros(n, np.int32)
     at, run = texts.astype(np.int64), np.zeros(len(texts), np.int64)
-    end = np.append(texts[1:], n)
+    end = np.append(texts[1:], n) if ends is None else ends
     while len(at):
         other = before[at]
         run = np.where(other < 0, 0, np.maximum(run - 1, 0))

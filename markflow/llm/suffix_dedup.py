@@ -10,7 +10,7 @@ bytes, so the arrays are built over what can repeat, in shards that are exact on
  3. what is left are first contexts whose anchor occurs in other contexts. A window is LENGTH - SEED bytes longer than its
     anchor, so half of that on one side or the other: contexts are dealt by (anchor, that side's bytes), once for each
     side and cut to what such windows reach. In a shard, of equal ones again only the first stays; those that share
-    a key are laid end to end, and the suffix array by induced sorting and permuted common prefixes give the runs of equal
+    a key are laid end to end, and the suffix array by prefix doubling and permuted common prefixes give the runs of equal
     LENGTH-byte strings, all of which but the first go;
  4. spans are gathered per document, merged, and cut out of the whole text.
 
@@ -87,29 +87,31 @@ def _pack(rows: list[tuple], first: str = "kind", kind: pa.DataType = pa.int8())
     return pa.table([pa.array(c, t) for c, t in zip(cols, [kind, pa.int64(), *[pa.binary()] * 4])], names=[first, "k", "p0", "p1", "p2", "p3"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, ties, buffer, begins, ends) of texts of at least LENGTH bytes."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(ids, ties, buffer, begins, ends, values of a fourth column) of texts of at least LENGTH bytes."""
 
-    def block(ids: list[int], ties: list[int], texts: list[bytes]):
+    def block(ids: list[int], ties: list[int], texts: list[bytes], more: list):
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(size)
-        return np.array(ids, np.int64), np.array(ties, np.int64), np.frombuffer(b"".join(texts), np.uint8), ends - size, ends
+        return np.array(ids, np.int64), np.array(ties, np.int64), np.frombuffer(b"".join(texts), np.uint8), ends - size, ends, more
 
-    ids, ties, texts, total = [], [], [], 0
+    ids, ties, texts, more, total = [], [], [], [], 0
     for b in batches:
-        for i, tie, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        fourth = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+        for i, tie, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), fourth):
             text = t.as_py().encode("utf-8", "surrogatepass")
             if len(text) < LENGTH:
                 continue
             ids.append(_LEAST if i is None else i)
             ties.append(tie)
             texts.append(text)
+            more.append(x)
             total += len(text)
             if total >= BLOCK_BYTES:
-                yield block(ids, ties, texts)
-                ids, ties, texts, total = [], [], [], 0
+                yield block(ids, ties, texts, more)
+                ids, ties, texts, more, total = [], [], [], [], 0
     if texts:
-        yield block(ids, ties, texts)
+        yield block(ids, ties, texts, more)
 
 
 def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
@@ -119,7 +121,7 @@ def _dealt(texts: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, (ids, ties, buf, begins, ends) in enumerate(_blocks(batches)):
+        for k, (ids, ties, buf, begins, ends, _) in enumerate(_blocks(batches)):
             base = (part << 40) | (k << 24)
             roll = Rolling(buf)
             at = anchors(buf, begins, ends, roll)
@@ -228,25 +230,26 @@ def _contexts(met: DataFrame, shards: int) -> DataFrame:
     """First contexts of documents, dealt by anchor and half a side: (shard, key, doc_id, tie, at, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, tie, text, firsts in zip(*(c.to_pylist() for c in b.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
-                at = unpacked(firsts, np.int64)
-                roll = Rolling(np.frombuffer(raw, np.uint8))
-                keys, bodies, begin = [], [], []
-                # A window holds HALF bytes before its anchor, or HALF bytes after it; what such windows reach is the context.
-                for side, ok, s, e in ((0, at >= HALF, at - HALF, at + SEED), (1, at + SEED + HALF <= len(raw), at, at + SEED + HALF)):
-                    x = np.nonzero(ok)[0]
-                    keys.append(roll.of(s[x], e[x]) * np.uint64(2) + np.uint64(side))
-                    left, right = np.maximum(e[x] - LENGTH, 0), np.minimum(s[x] + LENGTH, len(raw))
-                    begin.append(left)
-                    bodies += [raw[a:z] for a, z in zip(left.tolist(), right.tolist())]
-                keys, begin = np.concatenate(keys), np.concatenate(begin)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((mixed(keys) % np.uint64(shards)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array([i] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(begin), pa.array(bodies, pa.binary())],
-                    names=["shard", "key", "doc_id", "tie", "at", "body"],
-                )
+        for ids, ties, buf, begins, ends, firsts in _blocks(batches):
+            roll, raw = Rolling(buf), buf.tobytes()
+            firsts = [unpacked(x, np.int64) for x in firsts]
+            doc = np.repeat(np.arange(len(ids)), [len(x) for x in firsts])
+            at = np.concatenate(firsts) + begins[doc]
+            # A window holds HALF bytes before its anchor, or HALF bytes after it; what such windows reach is the context.
+            for side, ok, s, e in ((0, at - HALF >= begins[doc], at - HALF, at + SEED), (1, at + SEED + HALF <= ends[doc], at, at + SEED + HALF)):
+                d, s, e = doc[ok], s[ok], e[ok]
+                key = roll.of(s, e) * np.uint64(2) + np.uint64(side)
+                left, right = np.maximum(e - LENGTH, begins[d]), np.minimum(s + LENGTH, ends[d])
+                shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
+                for x in range(0, len(d), 10_000):
+                    y = slice(x, x + 10_000)
+                    bodies = [raw[a:z] for a, z in zip(left[y].tolist(), right[y].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard[y]), pa.array(key[y].view(np.int64)), pa.array(ids[d[y]]), pa.array(ties[d[y]]), pa.array(left[y] - begins[d[y]]), pa.array(bodies, pa.binary())],
+                        names=["shard", "key", "doc_id", "tie", "at", "body"],
+                    )
+            del roll
+            trim()
 
     return met.mapInArrow(run, "shard int, key long, doc_id long, tie long, at long, body binary")
 
@@ -276,22 +279,26 @@ def _shard(t: pa.Table) -> pa.Table:
     # UTF-8 has no FE and no FF: moved up by two, 1 ends a context and 0 ends the whole.
     raw = np.frombuffer(b"\xff".join(bodies[i] for i in keep) + b"\xff\xfe", np.uint8) + np.uint8(2)
     sa = suffix_array(raw, 256)
-    shared = common_prefixes(raw, sa, begins, LENGTH)
-    text = np.searchsorted(begins, sa, "right") - 1
-    inside = sa + LENGTH <= (begins + size)[text]
-    run = np.cumsum(~((shared[sa] >= LENGTH) & np.r_[False, inside[:-1]] & inside))
-    ok = np.nonzero(inside)[0]
-    text, offset, run = text[ok], (sa - begins[text])[ok], run[ok]
-    order_of = np.array(keep)
-    d, tie, start = place[0][order_of][text], place[1][order_of][text], place[2][order_of][text] + offset
-    order = np.lexsort((start, tie, d, run))
-    cut = starts(run[order])
-    lead = np.repeat(order[cut], np.diff(np.r_[cut, len(order)]))
-    gone = order[(d[order] != d[lead]) | (tie[order] != tie[lead]) | (start[order] != start[lead])]
+    shared = common_prefixes(raw, sa, begins, LENGTH, begins + size - LENGTH + 1)
+    text = np.repeat(np.arange(len(size)), size + 1)
+    place, offset = place[:, np.array(keep)], np.arange(len(text)) - begins[text]
+    sa = sa[1:]  # but the last symbol
+    sa = sa[(offset <= size[text] - LENGTH)[sa]]  # a string of LENGTH bytes ends in its context, and so does any that equals it
+    run = np.cumsum(shared[sa] < LENGTH)
+    several = np.bincount(run)[run] > 1
+    sa, run = sa[several], run[several]
+    text, offset = text[sa], offset[sa]
+    # Contexts stand in the order of documents, so a document's number and an offset order the starts.
+    number = np.cumsum(np.r_[0, (np.diff(place[:2]) != 0).any(0)])
+    start = (number[text] << 32) + place[2][text] + offset
+    order = np.lexsort((start, run))
+    lead = starts(run[order])
+    gone = order[start[order] != np.repeat(start[order[lead]], np.diff(lead, append=len(order)))]
+    d, tie, start = place[0][text[gone]], place[1][text[gone]], start[gone] & ((1 << 32) - 1)
     own = np.array([x for x, _, _ in done], np.int64).reshape(-1, 2)
-    d, tie = np.r_[d[gone], own[:, 0]], np.r_[tie[gone], own[:, 1]]
-    s = np.r_[start[gone], np.array([x for _, x, _ in done], np.int64)]
-    e = np.r_[start[gone] + LENGTH, np.array([x for _, _, x in done], np.int64)]
+    d, tie = np.r_[d, own[:, 0]], np.r_[tie, own[:, 1]]
+    s = np.r_[start, np.array([x for _, x, _ in done], np.int64)]
+    e = np.r_[start + LENGTH, np.array([x for _, _, x in done], np.int64)]
     if not len(d):
         return empty
     order = np.lexsort((s, tie, d))

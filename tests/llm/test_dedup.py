@@ -201,3 +201,50 @@ def test_small_files_are_compared_together(monkeypatch):
         else:
             dense.add(k)
     assert got == want and set(np.nonzero(thick)[0].tolist()) == dense and (7 in dense or size[7] < 3)
+
+
+def test_suffix_array_takes_few_steps():
+    """Each round doubles what is compared: no step for each wave of places, even where all symbols are equal."""
+    import sys
+
+    rng = np.random.default_rng(8)
+    for t in (np.r_[rng.integers(1, 30, 20_000), 0], np.r_[np.full(5_000, 7), 0], np.r_[np.tile(rng.integers(1, 30, 700), 6), 0]):
+        calls = []
+        sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "c_call" else None)
+        try:
+            sa = suffix_array.suffix_array(t, 256)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 600  # waves took thousands
+        raw = t.astype(np.uint8).tobytes()
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        assert (suffix_array.suffix_array(t, 1 << 60) == sa).all()  # symbols too wide to be sorted with their places
+
+
+def test_contexts_of_a_block_travel_together():
+    """A block's contexts come in a batch of up to 10,000, not one for each document; each is its text's bytes, keyed by its half."""
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(90))
+    texts = ["".join(rng.choice("ijk lmn") for _ in range(150)) + passage + "x" * (i % 7) + "".join(rng.choice("opq rst") for _ in range(i)) for i in range(60)]
+    firsts = [np.array([0, 33, 34, 150, 160, len(t.encode()) - 32]) for t in texts]
+    rows = pa.table([pa.array(range(60), pa.int64()), pa.array([7] * 60, pa.int64()), pa.array(texts), pa.array([suffix_dedup.packed(x) for x in firsts])], names=["doc_id", "tie", "text", "firsts"])
+    got = list(suffix_dedup._contexts(Rows(), 4)(iter(rows.to_batches(max_chunksize=25))))
+    assert len(got) == 2  # one for each side; it was 60
+    want = set()
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        for a in firsts[i].tolist():
+            for s, e in [(a - 34, a + 32)] * (a >= 34) + [(a, a + 66)] * (a + 66 <= len(raw)):
+                want.add((raw[s:e], i, 7, max(e - 100, 0), raw[max(e - 100, 0) : s + 100], s != a))
+    keys = defaultdict(set)
+    for r in pa.Table.from_batches(got).to_pylist():
+        half = next(w for w in want if w[1:5] == (r["doc_id"], r["tie"], r["at"], r["body"]) and w[5] == (r["key"] % 2 == 0))
+        want.discard(half)
+        keys[r["key"]].add((half[0], half[5]))
+    assert not want and all(len(v) == 1 for v in keys.values()) and len(keys) == len({x for v in keys.values() for x in v})
